@@ -188,7 +188,7 @@ def first_pass(b: Block) -> str:
     if b.scope:
         return "good" if b.n >= SHORT_WORDS and not b.heading else "short"
     if b.n < SHORT_WORDS:
-        return "short"
+        return "bad" if b.linked else "short"
     density = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / b.n
     if density >= STOP_HIGH:
         return "good" if b.n >= LONG_WORDS else "near"
