@@ -1,15 +1,16 @@
 """Exact tokenizer output through a bounded memo of white-space-delimited chunks.
 
 Both tokenizers split a text at white space before they merge anything, so the ids of a text are
-the ids of its chunks in order. A chunk is encoded by the library once and then looked up. The
-shortcut is taken only for texts whose white space is of the plain kind for which that holds; any
-other text goes to the library whole. Special strings hold no white space, so each stays inside
+the ids of its chunks in order. A chunk is encoded by the library once and then looked up: plain
+words by its model alone, others by all its steps. The shortcut is taken only for texts whose white
+space is of the kind for which that holds; any other text goes to the library whole. Special strings hold no white space, so each stays inside
 one chunk and the library treats it there as it would in the text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from array import array
 
 #: Chunks remembered by a Python worker; a bound on memory, not on the input.
@@ -28,103 +29,124 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+class _Memo(dict):
+    """A dict that makes missing values and keeps them while there is room."""
+
+    def __init__(self, make, room: int):
+        super().__init__()
+        self.make, self.room = make, room
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) < self.room:
+            self[key] = value
+        return value
+
+
+#: Marks that end words. A run of them behind a letter is a piece of its own for both tokenizers.
+MARKS = ",.;:!?*$%&#"
+#: Words of these letters are one piece, which the library's model encodes without its other steps.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+LATIN_1 = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character that byte-level tokenizers put for each byte: itself if it is printable,
+    else the next one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+BYTE_CHARACTERS = byte_characters()
+
+
+def as_bytes(word: str) -> str:
+    return word.encode().decode("latin1").translate(BYTE_CHARACTERS)
+
+
 class IdEncoder:
-    """Ids of whole texts by a byte-level tokenizer, as little-endian bytes of ``typecode``."""
+    """Ids of whole texts by a byte-level tokenizer, as little-endian bytes of ``typecode``.
+
+    A text is cut at single spaces and newlines. A cut where a word's neighbour is no white space is
+    always a border of pieces. Text with any other white space gets None for a part, and goes to the
+    library whole.
+    """
 
     def __init__(self, path: str, typecode: str = "I", memo: int = MEMO):
-        self.lib, self.typecode, self.memo = load(path), typecode, memo
-        self.bare: dict[str, bytes] = {}
-        self.after_space: dict[str, bytes] = {}
-        self.newline = self._pack(self.lib.encode("\n", add_special_tokens=False).ids)
+        self.lib, self.typecode = load(path), typecode
+        self.model = self.lib.model
+        self.newline = self._library("\n")
+        self.first = _Memo(self._bare, memo // 8)
+        self.parts = _Memo(self._part, memo)
+        self.stems = _Memo(self._stem, memo // 2)
+        self.tails = _Memo(self._library, memo // 8)
 
     def _pack(self, ids) -> bytes:
         return array(self.typecode, ids).tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 512):
-            out += [self._pack(e.ids) for e in self.lib.encode_batch_fast(texts[i : i + 512], add_special_tokens=False)]
-        return out
+    def _library(self, text: str) -> bytes:
+        return self._pack(self.lib.encode(text, add_special_tokens=False).ids)
+
+    def _stem(self, stem: str) -> bytes:
+        return self._pack([t.id for t in self.model.tokenize(as_bytes(stem))])
 
-    @staticmethod
-    def plain(text: str) -> bool:
-        """Single spaces and newlines between words, none at the ends, no other white space."""
-        words = text.split()
-        gaps = len(words) - 1
-        return gaps >= 0 and sum(map(len, words)) + gaps == len(text) and text.count(" ") + text.count("\n") == gaps
+    def _word(self, text: str) -> bytes:
+        stem = text.rstrip(MARKS)
+        if not LETTERS(stem.removeprefix(" ")):
+            return self._library(text)
+        return self.stems[stem] + self.tails[text[len(stem) :]] if len(stem) < len(text) else self.stems[stem]
+
+    def _bare(self, part: str) -> bytes | None:
+        return self._word(part) if part.split() == [part] else None
+
+    def _part(self, part: str) -> bytes | None:
+        """Ids of a part and the white space before it: a newline of its own, else a space."""
+        word = part[1:] if part[:1] == "\n" else part
+        if word.split() != [word]:
+            return None
+        return self.newline + self._word(word) if word is not part and len(word) < len(part) else self._word(" " + word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[list[str]] | None] = []
-        bare, after = set(), set()
+        out, part = [], self.parts.__getitem__
         for text in texts:
-            if not self.plain(text):
-                split.append(None)
-                continue
-            lines = [line.split(" ") for line in text.split("\n")]
-            split.append(lines)
-            for line in lines:
-                bare.add(line[0])
-                after.update(line[1:])
-        known_bare = self._known(self.bare, bare, "")
-        known_after = self._known(self.after_space, after, " ")
-        whole = iter(self._encode([t for t, lines in zip(texts, split) if lines is None]))
-        out = []
-        for lines in split:
-            if lines is None:
-                out.append(next(whole))
-                continue
-            parts: list[bytes] = []
-            for line in lines:
-                parts.append(self.newline)
-                parts.append(known_bare(line[0]))
-                parts.extend(map(known_after, line[1:]))
-            out.append(b"".join(parts[1:]))
+            first, *rest = text.replace("\n", " \n").split(" ")
+            try:
+                out.append(self.first[first] + b"".join(map(part, rest)))
+            except TypeError:  # some part was None
+                out.append(self._library(text))
         return out
 
-    def _known(self, memo: dict[str, bytes], wanted: set[str], prefix: str):
-        """A lookup for the wanted chunks; new ones are kept while there is room."""
-        new = list(wanted.difference(memo))
-        fresh = dict(zip(new, self._encode([prefix + x for x in new])))
-        if len(memo) + len(fresh) <= self.memo:
-            memo.update(fresh)
-            return memo.__getitem__
-        seen = {x: memo[x] for x in wanted if x in memo}
-        seen.update(fresh)
-        return seen.__getitem__
-
 
 class TokenCounter:
-    """Token counts of whole texts by a tokenizer that drops white space."""
+    """Token counts of whole texts by a tokenizer that drops white space and lower-cases.
+
+    Python takes four control characters for white space that the tokenizer does not; texts with them
+    go to the library whole.
+    """
 
     def __init__(self, path: str, memo: int = MEMO):
-        self.lib, self.memo, self.counts = load(path), memo, {}
+        self.lib = load(path)
+        self.model = self.lib.model
+        self.counts = _Memo(self._word, memo)
+        self.stems = _Memo(self._stem, memo // 2)
+        self.tails = _Memo(self._library, memo // 8)
 
-    def _count(self, texts: list[str]) -> list[int]:
-        out: list[int] = []
-        for i in range(0, len(texts), 512):
-            out += map(len, self.lib.encode_batch_fast(texts[i : i + 512], add_special_tokens=False))
-        return out
+    def _library(self, text: str) -> int:
+        return len(self.lib.encode(text, add_special_tokens=False))
+
+    def _stem(self, stem: str) -> int:
+        return len(self.model.tokenize(as_bytes(stem.lower())))
+
+    def _word(self, text: str) -> int:
+        stem = text.rstrip(MARKS)
+        if not LATIN_1(stem):
+            return self._library(text)
+        return self.stems[stem] + (self.tails[text[len(stem) :]] if len(stem) < len(text) else 0)
 
     def count(self, texts: list[str]) -> list[int]:
-        split: list[list[str] | None] = []
-        wanted: set[str] = set()
-        for text in texts:
-            words = text.split()
-            blanks = sum(map(text.count, " \n\t\r"))
-            if len(text) - sum(map(len, words)) != blanks:
-                split.append(None)
-                continue
-            split.append(words)
-            wanted.update(words)
-        new = list(wanted.difference(self.counts))
-        fresh = dict(zip(new, self._count(new)))
-        if len(self.counts) + len(fresh) <= self.memo:
-            self.counts.update(fresh)
-            known = self.counts
-        else:
-            known = {x: self.counts[x] for x in wanted if x in self.counts} | fresh
-        whole = iter(self._count([t for t, words in zip(texts, split) if words is None]))
-        return [next(whole) if words is None else sum(map(known.__getitem__, words)) for words in split]
+        known = self.counts.__getitem__
+        return [self._library(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else sum(map(known, t.split())) for t in texts]
 
 
 def chunks(texts: list[str], size: int = 2_000_000):
