@@ -23,8 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farglass.llm.licenses import word_count
-from farglass.llm.words import license_words
+from farglass.llm.words import license_word_count, license_words
 from farglass.runtime import checked_broadcast, materialise
 
 WINDOW = 13
@@ -103,7 +102,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, sl
     hits = checked_broadcast(hits, limit=BLOCK)
     joined = docs.withColumn("bench_hash", F.xxhash64(text_col)).join(hits, F.col(id_col).eqNullSafe(F.col("own_id")) & (F.col("bench_hash") == F.col("own_hash")), "left")
     n_hit = F.coalesce("bench_n_hit", F.lit(0).cast("long"))
-    counted = joined.withColumn("bench_n_words", word_count(F.col(text_col))).withColumns(
+    counted = joined.withColumn("bench_n_words", license_word_count(F.col(text_col))).withColumns(
         {"bench_n_hit": n_hit, "bench_items": F.coalesce("bench_items", F.array().cast("array<string>")), "bench_n_near": F.coalesce("bench_n_near", F.lit(0).cast("long"))}
     )
     return counted.withColumn("bench_contaminated", (F.col("bench_n_hit") > 0) & (20 * F.col("bench_n_hit") >= F.col("bench_n_words"))).drop("own_id", "own_hash", "bench_hash")

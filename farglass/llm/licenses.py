@@ -27,11 +27,6 @@ ANCHORS = ("licen", "hereby", "redistribution", "redistribute", "domain", "creat
 LEVELS = 4
 
 
-def word_count(text: Column) -> Column:
-    """Words of ``license_words`` in a text; upper case needs no lowering for a count."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-
-
 def has_anchor(low: Column) -> Column:
     """Whether a lower-case text may hold a match."""
     found = [F.contains(low, F.lit(a)) for a in ANCHORS]

@@ -18,16 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farglass.llm.words import SOLID
+from farglass.llm.words import solid_word_count
 from farglass.runtime import checked_broadcast, materialise
 
 SEEDS = 16
 
 
-def size_of(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SOLID)).cast("long")
-
-
 def draw(id_col: Column, seed: Column) -> Column:
     """A number in [0, 1) of 32 bits of the MD5 of ``seed:id``."""
     hashed = F.md5(F.concat_ws(":", seed.cast("string"), F.coalesce(id_col.cast("string"), F.lit("null"))))
@@ -58,7 +54,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
 
 def plan_mix(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, most: float) -> tuple[DataFrame, int]:
     """Rates by source, ``source, source_size, target, rate, seed``, and the number of sources."""
-    slim = docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("own_id"), size_of(F.col(text_col)).alias("size"))
+    slim = docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("own_id"), solid_word_count(F.col(text_col)).alias("size"))
     slim = materialise(slim, "sizes")
     targets = materialise(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     n = targets.count()
@@ -79,7 +75,7 @@ def mix(
     """The documents with ``mix_size, mix_source_size, mix_target, mix_rate, mix_copies``."""
     rates, n = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, share=share, most=most)
     rates = rates.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"), F.col("seed").alias("mix_seed"))
-    sized = docs.withColumn("mix_size", size_of(F.col(text_col)))
+    sized = docs.withColumn("mix_size", solid_word_count(F.col(text_col)))
     joined = sized.join(checked_broadcast(rates, n), F.col(source_col).eqNullSafe(F.col("mix_source")))
     whole = F.floor("mix_rate")
     copies = whole + (draw(F.col(id_col), F.col("mix_seed")) < F.col("mix_rate") - whole).cast("long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from farglass.llm import decontamination, hilbert, html_text, licenses, mixing, quality, simhash, token_counts, token_files, warc
 from farglass.llm.sql import ORACLES
+from farglass.llm.words import license_word_count
 from farglass.runtime import scratch_path
 
 IDS_TOKENIZER = "byte_bpe_50k.json"
@@ -30,7 +31,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = F.transform(base, lambda d: d["first"].cast("long"))
     return found.withColumn("base", base).select(
         "doc_id",
-        licenses.word_count(F.col("text")).alias("n_words"),
+        license_word_count(F.col("text")).alias("n_words"),
         F.size(base).cast("long").alias("n_base"),
         F.array_min(firsts).alias("first_word"),
         F.array_max(firsts).alias("last_word"),

@@ -7,6 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from farglass.llm import decontamination, license_rules, licenses, quality
+from farglass.llm.words import license_word_count
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, license_text string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -51,7 +52,7 @@ def brute_license(text):
 
 
 def test_license_scan_matches_brute_force(spark):
-    rows = licenses.scan(frame(spark, TEXTS).drop("license_text")).withColumn("n_words", licenses.word_count(F.col("text"))).collect()
+    rows = licenses.scan(frame(spark, TEXTS).drop("license_text")).withColumn("n_words", license_word_count(F.col("text"))).collect()
     for r in rows:
         n, base, labels, score = brute_license(r.text)
         assert (r.n_words, r.license_labels, r.license_score) == (n, labels, score), r.text
