@@ -121,3 +121,12 @@ def candidate_phrases(text: Column, stop_words: Sequence[str]) -> Column:
     cut = F.regexp_replace(F.lower(text), r"(?<![\p{L}])(?:" + "|".join(stop_words) + r")(?![\p{L}])", "|")
     parts = F.transform(F.split(cut, r"[^\p{L}\p{N} '-]+"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
     return F.filter(parts, lambda p: p != "")
+
+
+def term_patterns(sentences: DataFrame, keys: Sequence[str], words: str, term: str, widest: int = 2) -> DataFrame:
+    """``keys, at, phrase``: each place of a word with up to ``widest`` words before or behind it, the
+    longest span for each place; in the place of part-of-speech patterns."""
+    at = F.filter(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.when(F.get(words, i) == term, i)), lambda i: i.isNotNull())
+    places = sentences.where(F.array_contains(words, term)).select(*keys, words, F.explode(at).alias("at"))
+    first = F.greatest(F.col("at") - widest, F.lit(0))
+    return places.select(*keys, "at", F.array_join(F.slice(words, first + 1, F.col("at") - first + 1 + widest), " ").alias("phrase"))
