@@ -98,14 +98,14 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, sl
         F.sum(F.when(F.col("exact"), 0).otherwise(1)).alias("bench_n_near"),
     )
     covered = F.expr("aggregate(array_sort(places), struct(0 as stop, 0 as n), (acc, x) -> struct(greatest(acc.stop, x.stop) as stop, acc.n + greatest(0, x.stop - greatest(acc.stop, x.first)) as n), acc -> acc.n)")
-    hits = materialise(per_doc.select("own_id", "own_hash", covered.cast("long").alias("bench_n_hit"), "bench_items", "bench_n_near"), "hits")
+    hits = materialise(per_doc.select(F.col("own_id").alias("bench_own_id"), F.col("own_hash").alias("bench_own_hash"), covered.cast("long").alias("bench_n_hit"), "bench_items", "bench_n_near"), "hits")
     hits = checked_broadcast(hits, limit=BLOCK)
-    joined = docs.withColumn("bench_hash", F.xxhash64(text_col)).join(hits, F.col(id_col).eqNullSafe(F.col("own_id")) & (F.col("bench_hash") == F.col("own_hash")), "left")
+    joined = docs.withColumn("bench_hash", F.xxhash64(text_col)).join(hits, F.col(id_col).eqNullSafe(F.col("bench_own_id")) & (F.col("bench_hash") == F.col("bench_own_hash")), "left")
     n_hit = F.coalesce("bench_n_hit", F.lit(0).cast("long"))
     counted = joined.withColumn("bench_n_words", license_word_count(F.col(text_col))).withColumns(
         {"bench_n_hit": n_hit, "bench_items": F.coalesce("bench_items", F.array().cast("array<string>")), "bench_n_near": F.coalesce("bench_n_near", F.lit(0).cast("long"))}
     )
-    return counted.withColumn("bench_contaminated", (F.col("bench_n_hit") > 0) & (20 * F.col("bench_n_hit") >= F.col("bench_n_words"))).drop("own_id", "own_hash", "bench_hash")
+    return counted.withColumn("bench_contaminated", (F.col("bench_n_hit") > 0) & (20 * F.col("bench_n_hit") >= F.col("bench_n_words"))).drop("bench_own_id", "bench_own_hash", "bench_hash")
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -102,10 +102,10 @@ class IdEncoder:
 
     def _part(self, part: str) -> bytes | None:
         """Ids of a part and the white space before it: a newline of its own, else a space."""
-        word = part[1:] if part[:1] == "\n" else part
+        word = part.removeprefix("\n")
         if word.split() != [word]:
             return None
-        return self.newline + self._word(word) if word is not part and len(word) < len(part) else self._word(" " + word)
+        return self._word(" " + word) if word == part else self.newline + self._word(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, part = [], self.parts.__getitem__

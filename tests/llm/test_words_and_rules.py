@@ -157,6 +157,15 @@ def test_decontamination_in_blocks_and_without_items(spark, monkeypatch):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
 
 
+def test_extra_columns_with_clashing_names(spark):
+    names = ("own_id", "own_hash", "words", "n_words", "labels", "base", "size", "target", "quality", "component_id", "fingerprint", "shard", "curve")
+    docs = frame(spark, ["under the mit license", None]).select("doc_id", "text", "source", *(F.lit("x").alias(n) for n in names))
+    items = spark.createDataFrame([(0, "the mit license")], "item_id long, text string")
+    assert [r.bench_n_hit for r in decontamination.contamination(docs, items).orderBy("doc_id").collect()] == [3, 0]
+    assert licenses.scan(docs).count() == quality.judge(docs, []).count() == 2
+    assert decontamination.clean(docs, items).columns == docs.columns
+
+
 def test_proximity_matches(spark):
     passage = [f"w{k}" for k in range(13)]
     near = passage[:6] + ["inserted"] + passage[6:]
