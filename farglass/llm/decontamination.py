@@ -1,15 +1,17 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
 Test items are cut into windows of consecutive words. One pass over the training texts counts how
-often each test term occurs. For every window the two rarest terms are its probes. A second pass
-makes the positional postings (term, document, position) of the rarest terms, shifts each by the
-term's offset to where the window would begin, and intersects: the second-rarest term must stand at
-its own offset, then all words in order. That gives exact phrases; where the second term stands
-within ``slop`` of its place and most words of the window are near, the place is a proximity match.
-
-The index is sharded by document: a posting meets its document's other postings in the row they came
-from, so texts are never shuffled, and only matches are. Windows go to the executors in blocks of a
-fixed size, one pass for each block, so a benchmark of any size is handled.
+often each test term occurs; for every window the two rarest terms are its probes. A second pass
+stores the positional postings of the rarest terms: (term, document, position) and the words within
+a window's reach of the position, so that what stands around a posting needs no second lookup. Each
+posting is then shifted by its term's offset to where a window would begin, and intersected: the
+second-rarest term must stand at its own offset, then all words in order. That gives exact phrases;
+where the second term stands within ``slop`` of its place and most words of the window are near, the
+place is a proximity match.
+
+Texts are tokenised twice, however many windows there are, and never shuffled: postings are written
+where they are made. Windows go to the executors in blocks of a fixed size against the stored
+postings, so a benchmark of any size is handled.
 
 Nulls: a null text or item has no words; a null item id counts as an item (named by the empty
 string). Matches belong to rows by id and a hash of the text, so repeated rows and repeated ids each
@@ -60,6 +62,20 @@ def probes(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> D
     return ranked.select("item_id", "win", F.size("win").alias("n"), first["term"].alias("term"), first["at"].alias("at"), second["term"].alias("term2"), second["at"].alias("at2"), F.pmod(F.xxhash64("item_id", "win"), F.lit(1 << 20)).alias("part"))
 
 
+def build_index(docs: DataFrame, terms: DataFrame, reach: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stored postings of ``terms``: ``term, own_id, own_hash, pos, here, context``.
+
+    ``context`` has the words up to ``reach`` before and behind the position, of which the term's own
+    is number ``here``.
+    """
+    posted = tokenised(docs, id_col, text_col).select("own_id", "own_hash", "words", F.posexplode_outer("words").alias("pos", "term"))
+    here = F.least("pos", F.lit(reach))
+    n = terms.count()
+    kept = posted.join(checked_broadcast(terms, n, BLOCK), "term", "left_semi")
+    context = F.slice("words", F.col("pos") - here + 1, here + 1 + reach)
+    return materialise(kept.select("term", "own_id", "own_hash", "pos", here.alias("here"), context.alias("context")), "postings")
+
+
 def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, slop: int = SLOP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``own_id, own_hash, item_id, first, n, exact``: places of windows in texts.
 
@@ -69,20 +85,21 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, slop: in
     probe = materialise(probes(docs, windows, id_col, text_col), "probes")
     count = probe.count()
     blocks = max(1, -(-count // (BLOCK // 2)))  # half full on average, so that hashing fills none over
-    postings = tokenised(docs, id_col, text_col).select("own_id", "own_hash", "words", F.posexplode_outer("words").alias("pos", "posting"))
-    here = F.expr("slice(words, pos - at + 1, n) = win")
+    index = build_index(docs, materialise(probe.select("term").distinct(), "probe_terms"), window - 1 + slop, id_col=id_col, text_col=text_col)
+    index = index.withColumnRenamed("term", "posting")
+    # In a posting's context the window begins at here - at.
+    second = F.expr("get(context, here - at + at2) = term2")
+    exact = F.expr("pos >= at") & second & F.expr("slice(context, here - at + 1, n) = win")
     around = F.expr(f"""
-        array_contains(slice(words, greatest(pos - at + at2 - {slop}, 0) + 1, {2 * slop + 1}), term2)
-        and size(array_intersect(win, slice(words, greatest(pos - at - {slop}, 0) + 1, n + {2 * slop}))) >= {NEAR_SHARE} * size(array_distinct(win))
+        array_contains(slice(context, greatest(here - at + at2 - {slop}, 0) + 1, {2 * slop + 1}), term2)
+        and size(array_intersect(win, slice(context, greatest(here - at - {slop}, 0) + 1, n + {2 * slop}))) >= {NEAR_SHARE} * size(array_distinct(win))
         and n >= {window}
     """)
-    second = F.expr("get(words, pos - at + at2) = term2")
-    exact = F.expr("pos >= at") & second & here
     found = []
     for k in range(blocks):
         block = probe.where(F.col("part") % blocks == k).drop("part")
-        condition = (F.col("posting") == F.col("term")) & F.expr("pos >= at") & ((second & here) | (around if slop else F.lit(False)))
-        found.append(postings.join(F.broadcast(block), condition).select("own_id", "own_hash", "item_id", (F.col("pos") - F.col("at")).alias("first"), "n", F.coalesce(exact, F.lit(False)).alias("exact")))
+        condition = (F.col("posting") == F.col("term")) & F.expr("pos >= at") & (exact | (around if slop else F.lit(False)))
+        found.append(index.join(F.broadcast(block), condition).select("own_id", "own_hash", "item_id", (F.col("pos") - F.col("at")).alias("first"), "n", F.coalesce(exact, F.lit(False)).alias("exact")))
     return reduce(DataFrame.union, found)
 
 
