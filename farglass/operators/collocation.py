@@ -57,7 +57,7 @@ def positive_pmi(table: DataFrame, pairs: DataFrame, n_sentences: DataFrame, by:
         .join(totals.withColumnsRenamed({"ngram": "term", "total": "n1"}), [*by, "term"])
         .join(totals.withColumnRenamed("total", "n2"), [*by, "ngram"])
     )
-    joined = joined.join(F.broadcast(n_sentences), list(by)) if by else joined.crossJoin(F.broadcast(n_sentences))
+    joined = joined.join(n_sentences, list(by)) if by else joined.crossJoin(F.broadcast(n_sentences))
     n = F.col("n").cast("double")
     pmi = F.log2((F.col("both") / n) / ((F.col("n1") / n) * (F.pow("n2", F.lit(power)) / F.pow(n, F.lit(power)))))
     return joined.withColumn("pmi", pmi).where("pmi > 0").select(*by, "term", "ngram", "both", "pmi")

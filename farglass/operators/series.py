@@ -113,7 +113,7 @@ def trend_type(table: DataFrame, magnitude: str, growth: str, by: Sequence[str]
     if mid_point is not None:
         joined = table
     elif by:
-        joined = table.join(F.broadcast(medians), list(by))
+        joined = table.join(medians, list(by))
     else:
         joined = table.crossJoin(F.broadcast(medians))
     m, g = F.col(magnitude), F.col(growth)

@@ -107,6 +107,7 @@ def test_vectors(spark):
     store = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.1]), (4, [0.0, 0.0])], "id int, v array<float>")
     found = vectors.most_similar(store, store.where("id = 1"), "id", "v", 2).orderBy("rank").collect()
     assert [r.id for r in found] == [3, 2]
+    assert vectors.most_similar(store, store, "id", "v", 2, block=2).where("query = 1").orderBy("rank").collect() == found
     with pytest.raises(ValueError):
         vectors.upsert(store, store.union(store), "id")
     assert vectors.mean_vectors(store.withColumn("k", F.lit(1)), ["k"], "v").first().v == pytest.approx([0.75, 0.275])
