@@ -145,9 +145,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """One row of each component: that with the smallest id, and one of rows that repeat an id.
 
-    Rows with a null id stay, as nothing names them.
+    An id whose rows differ goes only if none of them stands for its component. Rows with a null id
+    stay, as nothing names them.
     """
-    gone = materialise(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
+    stands = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.bool_or(F.col(id_col) == F.col("component_id")).alias("stands"))
+    gone = materialise(stands.where(~F.col("stands")).select(id_col), "gone")
     twice = materialise(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "twice")
     kept = docs.join(checked_broadcast(gone), id_col, "left_anti")
     if twice.isEmpty():
