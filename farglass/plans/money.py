@@ -172,9 +172,9 @@ def t13_magnitude_and_growth(spark, d):
 
 
 @query(YEARLY + """, v as (select industry, max(case when year = 2000 then n_rounds end) as value, max(case when year = 1996 then n_rounds end) as reference from yearly group by industry)
-select *, value - reference as difference, 100.0 * (value - reference) / nullif(reference, 0) as change from v""")
+select *, value - reference as difference, round(100.0 * (value - reference) / nullif(reference, 0), 6) as change from v""")
 def t14_compare_years(spark, d):
-    return series.compare_years(yearly(spark, d), "n_rounds", 2000, 1996, ["industry"])
+    return series.compare_years(yearly(spark, d), "n_rounds", 2000, 1996, ["industry"]).withColumn("change", F.round("change", 6))
 
 
 TRENDS = MAGNITUDE + """, t as (select *, median(magnitude) over () as mid from mg)
@@ -198,9 +198,9 @@ def t16_trends_table(spark, d):
 
 
 @query(YEARLY + """, l as (select *, avg(raised) over (partition by industry order by year rows between 1 preceding and current row) as level from yearly)
-select industry, year, round(level, 2) as level, round(100 * (level - lag(level, 2) over w) / nullif(lag(level, 2) over w, 0), 6) as growth from l window w as (partition by industry order by year)""")
+select industry, year, round(level, 3) as level, round(100 * (level - lag(level, 2) over w) / nullif(lag(level, 2) over w, 0), 6) as growth from l window w as (partition by industry order by year)""")
 def t17_rolling_growth(spark, d):
-    return series.rolling_growth(yearly(spark, d), "raised", 2, 2, ["industry"]).select("industry", "year", F.round("level", 2).alias("level"), F.round("growth", 6).alias("growth"))
+    return series.rolling_growth(yearly(spark, d), "raised", 2, 2, ["industry"]).select("industry", "year", F.round("level", 3).alias("level"), F.round("growth", 6).alias("growth"))
 
 
 @query(f"{C} select id, n_deals from companies where coalesce(funding, 0) > 0 or coalesce(n_deals, 0) > 0")
@@ -213,9 +213,9 @@ def t21_linear_trend(spark, d):
     return series.linear_trend(yearly(spark, d), "n_rounds", ["industry"]).select("industry", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"))
 
 
-@query(YEARLY + " select industry, year, round(raised, 2) as raised, round(avg(raised) over (partition by industry order by year rows between 2 preceding and current row), 2) as raised_sma3 from yearly")
+@query(YEARLY + " select industry, year, round(raised, 2) as raised, round(avg(raised) over (partition by industry order by year rows between 2 preceding and current row), 3) as raised_sma3 from yearly")
 def w1_moving_average(spark, d):
-    return series.moving_average(yearly(spark, d), "raised", 3, ["industry"], "year").select("industry", "year", F.round("raised", 2).alias("raised"), F.round("raised_sma3", 2).alias("raised_sma3"))
+    return series.moving_average(yearly(spark, d), "raised", 3, ["industry"], "year").select("industry", "year", F.round("raised", 2).alias("raised"), F.round("raised_sma3", 3).alias("raised_sma3"))
 
 
 @query(f"{R} select * from rounds qualify row_number() over (partition by org_id order by announced_on desc, id desc) = 1")

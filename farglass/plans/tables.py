@@ -166,7 +166,7 @@ def r2_explode_parallel(spark, d):
     return shape.explode_parallel(rows, ["id"], ["kind", "investors"], "investors")
 
 
-@query("""select c_custkey as id, y as year, c_acctbal + y as value from customer, (values (2016), (2017), (2018)) t(y)""")
+@query("""select c_custkey as id, y as year, round(c_acctbal + y, 2) as value from customer, (values (2016), (2017), (2018)) t(y)""")
 def r3_yearly_values(spark, d):
     wide = S.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat_ws(";", *(F.format_string("%.2f", F.col("c_acctbal") + y) for y in (2016, 2017, 2018))).alias("BALANCE (2016,2017,2018)"))
     return shape.yearly_values(wide, "id", "BALANCE (2016,2017,2018)").withColumn("value", F.round("value", 2))
@@ -215,7 +215,7 @@ def q5_data_report(spark, d):
     return S.companies(spark, d).agg(F.count("*").alias("n"), F.count(F.when(F.col("country") == "UNITED KINGDOM", 1)).alias("n_uk"), F.count_distinct("country").alias("n_countries"), F.min("founded_on").alias("first_on"), F.sum("n_deals").alias("n_deals"))
 
 
-@query(f"{C} select id, name, n_deals, coalesce(funding, 0) as funding from companies order by coalesce(funding, 0) desc, id limit 10")
+@query(f"{C} select id, name, n_deals, round(coalesce(funding, 0), 2) as funding from companies order by coalesce(funding, 0) desc, id limit 10")
 def o2_top_funded(spark, d):
     return S.companies(spark, d).withColumn("funding", F.coalesce("funding", F.lit(0.0))).orderBy(F.desc("funding"), "id").limit(10).select("id", "name", "n_deals", F.round("funding", 2).alias("funding"))
 
