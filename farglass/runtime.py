@@ -47,9 +47,26 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{scratch_root(spark)}/farglass/{uuid.uuid4().hex}/{name}"
+    _MADE.append(f"{scratch_root(spark)}/farglass/{uuid.uuid4().hex}")
+    return f"{_MADE[-1]}/{name}"
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this process has put into the shared folder, once results are written elsewhere.
+
+    DataFrames that read from it are of no use afterwards. Returns the number of folders.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -129,3 +129,11 @@ def test_streams_agree_with_batches(spark, tmp_path):
     for _ in range(2):
         events.land(events.read_stream(spark, folder, table.schema), out, state)
     assert spark.read.parquet(out).count() == table.count()
+
+
+def test_release_deletes_scratch_tables(spark):
+    from farglass.runtime import materialise, release
+
+    release(spark)
+    kept = materialise(spark.range(5), "five")
+    assert kept.count() == 5 and release(spark) == 1 and release(spark) == 0
