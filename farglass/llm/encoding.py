@@ -125,7 +125,7 @@ class TokenCounter:
     go to the library whole.
     """
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, memo: int = MEMO // 5):
         self.lib = load(path)
         self.model = self.lib.model
         self.counts = _Memo(self._word, memo)
