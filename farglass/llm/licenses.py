@@ -1,7 +1,7 @@
 """License scans with ordered signature rules, in Column expressions only.
 
 A text that holds none of the anchor words has no match and is passed over after a few substring
-searches. Else its words are put between single spaces, the rules whose gate words all occur are
+searches. Else its words are put between single spaces, the rules whose gates are all met are
 applied, and each match becomes an interval of words. A detection inside the interval of another
 one of the same or a higher priority is suppressed; of equal intervals the higher priority stays,
 then the earlier rule. Everything happens within the row: no join, no shuffle.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from farglass.llm import license_rules
 from farglass.llm.words import SEPARATORS, spaced
 
-RULE = "array<struct<number:int,label:string,priority:int,confidence:double,base:boolean,gates:array<string>,pattern:string>>"
+RULE = "array<struct<number:int,label:string,priority:int,confidence:double,base:boolean,gates:array<array<string>>,pattern:string>>"
 FOUND = "array<struct<first:int,stop:int,number:int,label:string,priority:int,confidence:double,base:boolean,kept:boolean>>"
 #: A text without any of these has no match: every rule's matches hold one of them.
 ANCHORS = ("licen", "hereby", "redistribution", "redistribute", "domain", "creative", "copyleft")
@@ -35,7 +35,7 @@ def has_anchor(low: Column) -> Column:
 
 
 def rules_literal(rules: list[license_rules.Rule]) -> Column:
-    rows = [{"number": r.number, "label": r.label, "priority": r.priority, "confidence": r.confidence, "base": r.base, "gates": r.gates, "pattern": r.pattern} for r in rules]
+    rows = [{"number": r.number, "label": r.label, "priority": r.priority, "confidence": r.confidence, "base": r.base, "gates": [g.split("|") for g in r.gates], "pattern": r.pattern} for r in rules]
     return F.from_json(F.lit(json.dumps(rows)), RULE)
 
 
@@ -46,7 +46,7 @@ def _spaces(x: str) -> str:
 #: A rule's matches in the text: the pieces between matches give where each begins.
 MATCHES = f"""
 flatten(transform(
-  filter(license_rules, r -> forall(r.gates, g -> contains(license_text, g)) and rlike(license_text, r.pattern)),
+  filter(license_rules, r -> forall(r.gates, g -> exists(g, a -> contains(license_text, a))) and rlike(license_text, r.pattern)),
   r -> aggregate(
     zip_with(regexp_extract_all(license_text, r.pattern, 0), split(license_text, r.pattern, -1), (h, p) -> struct(h as hit, p as piece)),
     cast(struct(-1 as at, array() as found) as struct<at:int,found:{FOUND}>),
