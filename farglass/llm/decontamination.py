@@ -105,7 +105,7 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, slop: in
 
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, slop: int = SLOP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with ``bench_n_words, bench_n_hit, bench_items`` (sorted ids of items found whole or
-    in part), ``bench_n_near`` (proximity matches) and ``bench_contaminated`` (at least one hit word
+    in part), ``bench_n_near`` (proximity matches, only of items of ``window`` words or more) and ``bench_contaminated`` (at least one hit word
     and at least a twentieth of all words hit)."""
     found = matches(docs, items, window=window, slop=slop, id_col=id_col, text_col=text_col, item_col=item_col, item_text=item_text)
     # One row for each place; a place's windows differ in length only where items are short.
