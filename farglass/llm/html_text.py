@@ -1,14 +1,20 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides each block: blocks inside
-boilerplate elements (navigation, footers, forms, scripts; elements whose class, id or role says
-advert, menu, comment and so on) are bad; blocks of links are bad; blocks inside ``article`` or
-``main`` are good when they are long enough to judge; elsewhere length and the density of stop
-words decide, as good, near-good, bad or short. The second pass gives the open blocks (short and
-near-good) the label of the nearest decided neighbours: good between good ones, bad between bad
-ones, and with neighbours that differ, the nearer one's; near-good blocks need only one good
-neighbour. Neighbours are sought within the same main element, and there the element itself stands
-for a missing neighbour, so a one-line article is kept. A heading goes with the block below it.
+A page is cut into blocks at block-level tags. The first pass decides each block by the density of
+links, its length and the density of stop words: blocks of links are bad; long blocks with many stop
+words are good, shorter ones near-good; blocks with few are bad; blocks too short to judge stay open.
+Where stop words can say nothing (a script without spaces, or a page in a language that is not in
+the list) length and links decide alone. Marks add evidence: within ``article`` or ``main`` near-good
+becomes good, and a block that lacks stop words is open instead of bad. What menus, headers, footers,
+forms, notices, adverts and comments mark as theirs (element, role, or a class or id of such a name)
+is bad, but a name on a wrapper says nothing about an article or main element within, unless it names
+other texts (comments, related pages).
+
+The second pass gives open blocks (short and near-good) the label of the nearest decided neighbours:
+good between good ones, bad between bad ones, and with neighbours that differ, the nearer one's;
+near-good blocks need only one good neighbour. A main element counts as a good neighbour of all open
+blocks within, so a one-line article is kept. Outside, a heading goes with the block below it. Where the good blocks of main elements have at least as many words as those outside,
+what is outside is dropped.
 
 Texts have their character references decoded and white space within a block made one space;
 blocks come in page order with one space between. Nothing is cut. Null and empty pages give an
@@ -49,6 +55,13 @@ STOP_WORDS = frozenset(
     "au aux avec ce cette ces dans des du elle est et il ils la le les leur mais ne nous on ou par pas plus pour qu que qui sa se ses son sur un une vous".split()
 )
 
+#: Names of texts that are not the page's own, even where they are articles themselves.
+OTHER_TEXTS = frozenset("comment comments disqus feedback promo promoted promotion reactions recommended related replies reply respond sponsor sponsored teaser".split())
+#: First parts of class names that tell of something else than the element's own content.
+MODIFIERS = frozenset("category cat has no non not tag with without".split())
+#: Punctuation that is cut from words before they are looked up.
+MARKS = str.maketrans("", "", ".,;:!?\"'()[]%*#$&|<>")
+
 TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)(?:>|\Z)",
     re.S,
@@ -61,39 +74,58 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LONG_WORDS, SHORT_WORDS = 25, 8
 STOP_HIGH, STOP_LOW = 0.25, 0.12
 LINKS_BAD = 0.5
+#: A page of so few stop words among its words is in a language that the list does not hold.
+STOP_KNOWN = 0.02
+#: Characters a word from which on a script is taken to have no spaces; there so many make a word.
+UNSPACED, WORD_CHARS = 24, 4
+LAYOUT, OTHERS = 1, 2
 
 
 class Block:
-    __slots__ = ("parts", "linked", "scope", "bad", "heading", "text", "label", "n")
+    __slots__ = ("parts", "linked", "scope", "bad", "heading", "text", "label", "n", "stops")
 
     def __init__(self, scope: int, bad: bool, heading: bool):
         self.parts: list[str] = []
         self.linked = 0
         self.scope, self.bad, self.heading = scope, bad, heading
         self.text = self.label = ""
-        self.n = 0
+        self.n = self.stops = 0
+
+
+def named(value: str, whole: bool, scope: int) -> int:
+    """What a class or id says: 0, LAYOUT or OTHERS. With ``whole`` only whole names count."""
+    says = 0
+    for name in value.split():
+        parts = NAME_PARTS.findall(CAMEL.sub(" ", name).lower())
+        if whole and len(parts) > 1 or not parts or parts[0] in MODIFIERS and len(parts) > 1:
+            continue
+        if not OTHER_TEXTS.isdisjoint(parts):
+            return OTHERS
+        if any(x in BAD_NAMES and not (scope and x == "header") for x in parts):
+            says = LAYOUT
+    return says
 
 
-def says_bad(attributes: str) -> bool:
-    """Whether an element's attributes mark it as boilerplate or hidden."""
+def marked(attributes: str, main: bool, scope: int) -> tuple[bool, int]:
+    """Whether attributes hide an element or give it a boilerplate role, and what its names say."""
+    names = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if not BAD_NAMES.isdisjoint(NAME_PARTS.findall(CAMEL.sub(" ", value).lower())):
-                return True
+            names = max(names, named(value, main, scope))
         elif name == "role":
             if value.lower() in BAD_ROLES:
-                return True
+                return True, names
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN_STYLE.search(value)):
-            return True
-    return False
+            return True, names
+    return False, names
 
 
 def blocks(html: str) -> list[Block]:
     """Non-empty blocks in page order. ``scope`` is the number of the main element, 0 outside."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: tag, inside boilerplate, scope
-    bad, scope, scopes, links = False, 0, 0, 0
+    stack: list[tuple[str, bool, int, int]] = []  # open elements, and what held around them: bad, names, scope
+    bad, names, scope, scopes, links = False, 0, 0, 0, 0
     block = Block(0, False, False)
     at, n = 0, len(html)
 
@@ -106,7 +138,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal block
         if block.parts:
             out.append(block)
-        block = Block(scope, bad, heading)
+        block = Block(scope, bad or names > 0, heading)
 
     while at < n:
         found = TAG.search(html, at)
@@ -141,16 +173,17 @@ def blocks(html: str) -> list[Block]:
                 if tag == "hr":
                     cut()
                 continue
-            attributes = found[3]
-            worse = bad or (tag in BAD_TAGS and not (tag == "header" and scope)) or ("=" in attributes or "hidden" in attributes) and tag not in ("html", "body") and says_bad(attributes)
-            if tag in BLOCK_TAGS or worse != bad:
-                if tag == "p" or tag in HEADINGS or tag == "li":
-                    while stack and stack[-1][0] == tag:  # an end tag that may be left out
-                        _, bad, scope = stack.pop()
-                        worse = bad or worse
-                stack.append((tag, bad, scope))
-                bad = worse
-                if tag in MAIN_TAGS and not bad and not scope:
+            attributes, main = found[3], tag in MAIN_TAGS
+            if tag == "p" or tag in HEADINGS or tag == "li":
+                while stack and stack[-1][0] == tag:  # an end tag that may be left out
+                    _, bad, names, scope = stack.pop()
+            says = marked(attributes, main, scope) if ("=" in attributes or "hidden" in attributes) and tag not in ("html", "body") else (False, 0)
+            worse = bad or says[0] or (tag in BAD_TAGS and not (tag == "header" and scope))
+            called = max(0 if main and names == LAYOUT else names, says[1])
+            if tag in BLOCK_TAGS or worse != bad or called != names:
+                stack.append((tag, bad, names, scope))
+                bad, names = worse, called
+                if main and not bad and not names and not scope:
                     scopes += 1
                     scope = scopes
                 links = 0 if tag != "a" else links
@@ -160,7 +193,7 @@ def blocks(html: str) -> list[Block]:
                 links = 0
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    _, bad, scope = stack[k]
+                    _, bad, names, scope = stack[k]
                     del stack[k:]
                     cut()
                     break
@@ -177,28 +210,55 @@ def blocks(html: str) -> list[Block]:
     return kept
 
 
-def first_pass(b: Block) -> str:
-    """good, near, bad or short."""
+def measure(b: Block) -> None:
+    """Words and stop words; ``stops`` is -1 in a script without spaces."""
     words = b.text.split(" ")
     b.n = len(words)
-    if b.bad:
-        return "bad"
-    if b.linked > LINKS_BAD * len(b.text):
+    if len(b.text) > UNSPACED * b.n:
+        b.n, b.stops = max(b.n, len(b.text) // WORD_CHARS), -1
+    else:
+        b.stops = sum(map(STOP_WORDS.__contains__, b.text.lower().translate(MARKS).split(" ")))
+
+
+def first_pass(b: Block, known: bool) -> str:
+    """good, near, bad or short. ``known`` says whether the page's language is in the list."""
+    if b.bad or b.linked > LINKS_BAD * len(b.text):
         return "bad"
-    if b.scope:
-        return "good" if b.n >= SHORT_WORDS and not b.heading else "short"
-    if b.n < SHORT_WORDS:
-        return "bad" if b.linked else "short"
-    density = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words) / b.n
-    if density >= STOP_HIGH:
-        return "good" if b.n >= LONG_WORDS else "near"
-    return "near" if density >= STOP_LOW and b.n >= LONG_WORDS else "bad"
+    if b.n < SHORT_WORDS or b.heading and b.scope:
+        return "bad" if b.linked and not b.scope else "short"
+    if not known or b.stops < 0:
+        label = "good" if b.n >= LONG_WORDS else "near"
+    elif b.stops >= STOP_HIGH * b.n:
+        label = "good" if b.n >= LONG_WORDS else "near"
+    else:
+        label = "near" if b.stops >= STOP_LOW * b.n and b.n >= LONG_WORDS else "bad"
+    return {"near": "good", "bad": "short"}.get(label, label) if b.scope else label
+
+
+def second_pass(k: int, b: Block, labels: list[str], sides: list[int]) -> bool:
+    """Whether an open block is main text, by its nearest decided neighbours ``sides``."""
+    near = [(abs(j - k), labels[j] == "good") for j in sides]
+    if b.scope:  # the element itself is the nearest neighbour, and a good one
+        return True
+    if not near:
+        return b.label == "near"
+    if b.label == "near":
+        return any(good for _, good in near)
+    if b.heading:
+        return sides[-1] > k and labels[sides[-1]] == "good"
+    if len(near) == 2 and near[0][1] == near[1][1]:
+        return near[0][1]
+    return min(near)[1]
 
 
 def classify(found: list[Block]) -> list[bool]:
     """Whether each block is main text."""
     for b in found:
-        b.label = first_pass(b)
+        measure(b)
+    judged = [b for b in found if not b.bad and not b.linked and b.stops >= 0]
+    known = sum(b.stops for b in judged) >= STOP_KNOWN * sum(b.n for b in judged)
+    for b in found:
+        b.label = first_pass(b, known)
     labels = [b.label for b in found]
     decided = [x in ("good", "bad") for x in labels]
     n = len(found)
@@ -212,20 +272,11 @@ def classify(found: list[Block]) -> list[bool]:
     for k, b in enumerate(found):
         if decided[k]:
             out.append(labels[k] == "good")
-            continue
-        # (distance, good) of the neighbours; inside a main element others do not count.
-        sides = [(abs(j - k), labels[j] == "good") for j in (left[k], right[k]) if j is not None and found[j].scope == b.scope and (found[j].label == "good" or not b.scope)]
-        if b.scope:
-            out.append(not sides or any(good for _, good in sides))
-        elif not sides:
-            out.append(labels[k] == "near")
-        elif labels[k] == "near":
-            out.append(any(good for _, good in sides))
-        elif b.heading:
-            out.append(right[k] is not None and labels[right[k]] == "good")
         else:
-            out.append(len({good for _, good in sides}) == 1 and sides[0][1] and len(sides) == 2 or min(sides, key=lambda s: (s[0], s[1]))[1])
-    return out
+            out.append(second_pass(k, b, labels, [j for j in (left[k], right[k]) if j is not None and found[j].scope == b.scope]))
+    inside = sum(b.n for b, good in zip(found, out) if good and b.scope)
+    outside = sum(b.n for b, good in zip(found, out) if good and not b.scope)
+    return [good and (b.scope > 0 or inside < outside) for b, good in zip(found, out)] if inside else out
 
 
 def extract(html: str | None) -> str:
