@@ -2,15 +2,17 @@
 
 Tokens (words) are summed by source, targets follow from the weights, and each document comes
 floor(rate) times plus one copy that a Bernoulli draw decides, with the rate's fraction as its
-probability. The draw is a hash of a seed and the document id, so reruns agree.
+probability. The draw is a hash of the seed and the document id, so reruns agree, and documents draw
+independently of each other.
 
-A source of few documents may miss its target by chance. So ``SEEDS`` seeds are tried in the one
-pass that sums the sources' draws, and each source takes the seed whose total is nearest to its
-target. A document's draw still depends on nothing but the seed and its id.
+So a source's words are its target in the mean, with a standard deviation of at most half the root
+of the sum of its documents' squared sizes: a source of many documents comes near its target, one of
+a few documents may miss it by half a document or more.
 
 Nulls: a null text has size 0; the null source is a source of its own and comes last; null ids draw
 as the id ``null``. Repeated rows draw alike. Sources without words have target 0. An empty table
-gives no rows. Further columns pass through ``mix``.
+gives no rows. Further columns pass through; where one begins with ``mix_``, the columns added take
+another underscore (``columns.free_prefix``).
 """
 
 from __future__ import annotations
@@ -18,15 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farglass.llm.columns import all_of, free_prefix, own
 from farglass.llm.words import solid_word_count
 from farglass.runtime import checked_broadcast, materialise
 
-SEEDS = 16
+SEED = 0
+PREFIX = "mix_"
 
 
-def draw(id_col: Column, seed: Column) -> Column:
+def draw(id_col: Column, seed: int = SEED) -> Column:
     """A number in [0, 1) of 32 bits of the MD5 of ``seed:id``."""
-    hashed = F.md5(F.concat_ws(":", seed.cast("string"), F.coalesce(id_col.cast("string"), F.lit("null"))))
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("null"))))
     return F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
@@ -52,38 +56,31 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return level.withColumn("target", F.coalesce(F.least("cap", F.col("weight") * first), F.col("cap"))).select("source", "source_size", "target")
 
 
-def plan_mix(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, most: float) -> tuple[DataFrame, int]:
-    """Rates by source, ``source, source_size, target, rate, seed``, and the number of sources."""
-    slim = docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("own_id"), solid_word_count(F.col(text_col)).alias("size"))
-    slim = materialise(slim, "sizes")
-    targets = materialise(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    n = targets.count()
+def plan_mix(docs: DataFrame, *, text_col: str, source_col: str, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """Rates by source: ``source, source_size, target, rate``."""
+    sizes = docs.select(own(source_col).alias("source"), solid_word_count(own(text_col)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(materialise(sizes, "source_sizes"), weights, share, most)
     rate = F.coalesce(F.least(F.try_divide("target", "source_size"), F.lit(float(most))), F.lit(0.0))
-    rated = targets.withColumn("rate", rate)
-    drawn = slim.alias("d").join(checked_broadcast(rated, n).alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    fraction = F.col("rate") - F.floor("rate")
-    extra = [F.sum(F.when(draw(F.col("own_id"), F.lit(k)) < fraction, F.col("size")).otherwise(0)).alias(f"extra{k}") for k in range(SEEDS)]
-    sums = drawn.groupBy("s.source", "s.source_size", "s.target", "s.rate").agg(*extra)
-    missed = [F.struct(F.abs(F.floor("rate") * F.col("source_size") + F.col(f"extra{k}") - F.col("target")).alias("miss"), F.lit(k).alias("seed")) for k in range(SEEDS)]
-    chosen = sums.withColumn("seed", F.array_min(F.array(*missed))["seed"]).select("source", "source_size", "target", "rate", "seed")
-    return materialise(chosen, "mix_plan"), n
+    return materialise(targets.withColumn("rate", rate), "mix_plan")
 
 
 def mix(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = SEED
 ) -> DataFrame:
     """The documents with ``mix_size, mix_source_size, mix_target, mix_rate, mix_copies``."""
-    rates, n = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, weights=weights, share=share, most=most)
-    rates = rates.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"), F.col("seed").alias("mix_seed"))
-    sized = docs.withColumn("mix_size", solid_word_count(F.col(text_col)))
-    joined = sized.join(checked_broadcast(rates, n), F.col(source_col).eqNullSafe(F.col("mix_source")))
-    whole = F.floor("mix_rate")
-    copies = whole + (draw(F.col(id_col), F.col("mix_seed")) < F.col("mix_rate") - whole).cast("long")
-    return joined.withColumn("mix_copies", copies).drop("mix_source", "mix_seed")
+    p = free_prefix(docs.columns, PREFIX)
+    rates = plan_mix(docs, text_col=text_col, source_col=source_col, weights=weights, share=share, most=most)
+    rates = rates.toDF(f"{p}source", f"{p}source_size", f"{p}target", f"{p}rate")
+    sized = docs.withColumn(f"{p}size", solid_word_count(own(text_col)))
+    joined = sized.join(checked_broadcast(rates), own(source_col).eqNullSafe(F.col(f"{p}source")))
+    whole = F.floor(f"{p}rate")
+    copies = whole + (draw(own(id_col), seed) < F.col(f"{p}rate") - whole).cast("long")
+    return joined.select(*all_of(docs), *(F.col(p + c) for c in ("size", "source_size", "target", "rate")), copies.alias(f"{p}copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Each document as many times as the mix takes it, with the columns it had."""
-    columns = [c for c in mixed.columns if not c.startswith("mix_")]
-    copies = F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))
-    return mixed.where("mix_copies > 0").select(*columns, copies.alias("mix_copy")).drop("mix_copy")
+    """Each document as many times as the mix takes it, without the five columns that ``mix`` added."""
+    columns, copies = all_of(mixed)[:-5], own(mixed.columns[-1])
+    number = free_prefix(mixed.columns, PREFIX) + "number"
+    repeated = mixed.where(copies > 0).select(*columns, F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias(number))
+    return repeated.drop(number)

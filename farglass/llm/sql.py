@@ -1,19 +1,13 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from farglass.llm.mixing import SEEDS
+from farglass.llm.mixing import SEED
 
 _SOLID = r"[^\x20\x09-\x0D]+"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _draw(seed) -> str:
-    return f"(('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint / 4294967296.0)"
-
-
-_EXTRAS = ", ".join(f"sum(case when {_draw(k)} < rate - floor(rate) then size else 0 end) as e{k}" for k in range(SEEDS))
-_MISSES = ", ".join(f"{{'miss': abs(floor(rate) * source_size + e{k} - target), 'seed': {k}}}" for k in range(SEEDS))
-_SEED_DRAW = "(('0x' || substr(md5(s.seed::varchar || ':' || coalesce(d.doc_id::varchar, 'null')), 1, 8))::bigint / 4294967296.0)"
+_DRAW = f"(('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint / 4294967296.0)"
 
 MIX = rf"""
 with sizes as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SOLID}'))::bigint as size from documents),
@@ -26,13 +20,9 @@ levels as (
   from caps window low as (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding)),
 tops as (select *, max(case when cap > level * w then level end) over () as top from levels),
 targets as (select source, source_size, coalesce(least(cap, w * top), cap) as target from tops),
-rates as (select *, coalesce(least(target / nullif(source_size, 0), 2.0::double), 0.0::double) as rate from targets),
-sums as (
-  select r.source, r.source_size, r.target, r.rate, {_EXTRAS}
-  from sizes d join rates r on d.source is not distinct from r.source group by all),
-seeds as (select *, list_min([{_MISSES}]).seed as seed from sums)
-select d.doc_id, d.size, s.source_size, s.target, (d.size * (floor(s.rate) + case when {_SEED_DRAW} < s.rate - floor(s.rate) then 1 else 0 end))::bigint as taken
-from sizes d join seeds s on d.source is not distinct from s.source
+rates as (select *, coalesce(least(target / nullif(source_size, 0), 2.0::double), 0.0::double) as rate from targets)
+select d.doc_id, d.size, r.source_size, r.target, (d.size * (floor(r.rate) + case when {_DRAW} < r.rate - floor(r.rate) then 1 else 0 end))::bigint as taken
+from sizes d join rates r on d.source is not distinct from r.source
 """
 
 WARC = """

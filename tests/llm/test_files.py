@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from farglass.llm import encoding, hilbert, mixing, token_counts, token_files, warc
 
@@ -151,8 +152,10 @@ def test_mix_meets_its_targets(spark, seed):
         assert r.mix_source_size == sizes[r.source] and r.mix_target == pytest.approx(targets[r.source])
         assert 0 <= r.mix_copies <= 2
         taken[r.source] += r.mix_size * r.mix_copies
-    for s in sizes:
-        assert abs(taken[s] - targets[s]) <= 0.05 * targets[s] + 60
+    for s in sizes:  # four standard deviations of independent draws
+        fraction = targets[s] / max(sizes[s], 1) % 1
+        spread = (sum(r.mix_size**2 for r in rows if r.source == s) * fraction * (1 - fraction)) ** 0.5
+        assert abs(taken[s] - targets[s]) <= 4 * spread + 1e-6
     emitted = mixing.emit(mixing.mix(frame(spark, texts, sources)))
     assert emitted.count() == sum(r.mix_copies for r in rows) and emitted.columns == frame(spark, []).columns
 
@@ -188,3 +191,26 @@ def test_shards_hold_the_rows_law(spark, n):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(counts[s]))
     order = sorted(rows, key=lambda r: (r.shard, r.slot))
     assert [r.curve for r in order] == sorted(r.curve for r in rows)
+
+
+def test_the_copy_is_a_bernoulli_draw(spark):
+    """200 sources of one document each: the share that draws the extra copy is the fraction."""
+    for size, share in ((10, 1.5), (10, 0.9), (7, 1.81)):
+        docs = frame(spark, ["w " * size] * 200, [f"s{k:03d}" for k in range(200)])
+        rows = mixing.mix(docs, weights=(1,), share=share, most=5.0).collect()
+        fraction = share % 1
+        assert all(r.mix_rate == pytest.approx(share) and r.mix_copies in (int(share), int(share) + 1) for r in rows)
+        drawn = sum(r.mix_copies - int(share) for r in rows)
+        assert abs(drawn - 200 * fraction) <= 3 * (200 * fraction * (1 - fraction)) ** 0.5
+    assert len({r.mix_copies for r in rows}) == 2
+
+
+def test_mix_keeps_columns_of_its_own_names(spark):
+    names = ["mix_size", "mix_copies", "mix_source", "MIX_number", "source_size", "target", "a.b"]
+    docs = frame(spark, ["a b", None, "c"], ["x", "y", None]).select("doc_id", "text", "source", *(F.lit(f"own {n}").alias(n) for n in names))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns + [f"mix__{c}" for c in ("size", "source_size", "target", "rate", "copies")]
+    assert sorted((r.doc_id, r["mix__size"]) for r in mixed.collect()) == [(0, 2), (1, 0), (2, 1)]
+    out = mixing.emit(mixed)
+    assert out.columns == docs.columns and out.count() == sum(r["mix__copies"] for r in mixed.collect())
+    assert all(r[n] == f"own {n}" for r in out.collect() for n in names)
