@@ -7,7 +7,8 @@ one of the same or a higher priority is suppressed; of equal intervals the highe
 then the earlier rule. Everything happens within the row: no join, no shuffle.
 
 Nulls: a null text has no words and no detections. Repeated rows stay, an empty table gives no
-rows, and all other columns pass through; the columns added start with ``license_``.
+rows, and all other columns pass through; the columns added start with ``license_``, or where a
+column of the user's does so, with another underscore (``columns.free_prefix``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farglass.llm import license_rules
+from farglass.llm.columns import all_of, free_prefix, own
 from farglass.llm.words import SEPARATORS, spaced
 
 RULE = "array<struct<number:int,label:string,priority:int,confidence:double,base:boolean,gates:array<array<string>>,pattern:string>>"
@@ -25,6 +27,7 @@ FOUND = "array<struct<first:int,stop:int,number:int,label:string,priority:int,co
 #: A text without any of these has no match: every rule's matches hold one of them.
 ANCHORS = ("licen", "hereby", "redistribution", "redistribute", "domain", "creative", "copyleft")
 LEVELS = 4
+PREFIX = "license_"
 
 
 def has_anchor(low: Column) -> Column:
@@ -80,20 +83,23 @@ def scan(docs: DataFrame, *, text_col: str = "text", rules: list[license_rules.R
     (sorted, of kept ones and of all base ones) and ``license_score`` (best confidence, else 0)."""
     rules = license_rules.build() if rules is None else rules
     none = F.array().cast(FOUND)
+    p = free_prefix(docs.columns, PREFIX)
+    matches, suppressed = (x.replace(PREFIX, p) for x in (MATCHES, SUPPRESSED))
     scanned = (
-        docs.withColumn("license_rules", rules_literal(rules))
-        .withColumn("license_low", F.lower(text_col))
-        .withColumn("license_text", F.when(has_anchor(F.col("license_low")), spaced(F.col(text_col))))
-        .withColumn("license_matches", F.when(F.col("license_text").isNotNull(), F.expr(MATCHES)))
-        .withColumn("license_all", F.when(F.size("license_matches") > 0, F.expr(SUPPRESSED)).otherwise(none))
+        docs.withColumn(f"{p}rules", rules_literal(rules))
+        .withColumn(f"{p}low", F.lower(own(text_col)))
+        .withColumn(f"{p}text", F.when(has_anchor(F.col(f"{p}low")), spaced(own(text_col))))
+        .withColumn(f"{p}matches", F.when(F.col(f"{p}text").isNotNull(), F.expr(matches)))
+        .withColumn(f"{p}all", F.when(F.size(f"{p}matches") > 0, F.expr(suppressed)).otherwise(none))
     )
     # A generator of one row: filters on the detections stay above it, so that nothing is computed
     # a second time inside a lambda.
-    scanned = scanned.select(*docs.columns, F.inline_outer(F.array(F.struct(F.col("license_all").alias("license_found")))))
-    counted = F.filter("license_found", lambda d: d["kept"] | d["base"])
+    scanned = scanned.select(*all_of(docs), F.inline_outer(F.array(F.struct(F.col(f"{p}all").alias(f"{p}found")))))
+    found = F.col(f"{p}found")
+    counted = F.filter(found, lambda d: d["kept"] | d["base"])
     return scanned.withColumns(
         {
-            "license_labels": F.array_sort(F.array_distinct(F.transform(counted, lambda d: d["label"]))),
-            "license_score": F.coalesce(F.array_max(F.transform(F.filter("license_found", lambda d: d["kept"]), lambda d: d["confidence"])), F.lit(0.0)),
+            f"{p}labels": F.array_sort(F.array_distinct(F.transform(counted, lambda d: d["label"]))),
+            f"{p}score": F.coalesce(F.array_max(F.transform(F.filter(found, lambda d: d["kept"]), lambda d: d["confidence"])), F.lit(0.0)),
         }
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farglass.llm import decontamination, hilbert, html_text, licenses, mixing, quality, simhash, token_counts, token_files, warc
+from farglass.llm.columns import free_prefix
 from farglass.llm.sql import ORACLES
 from farglass.llm.words import license_word_count
 from farglass.runtime import scratch_path
@@ -26,30 +27,32 @@ def tokenizer(name: str) -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents"))
-    base = F.filter("license_found", lambda d: d["base"])
+    docs = table(spark, sf_dir, "documents")
+    found, p = licenses.scan(docs), free_prefix(docs.columns, licenses.PREFIX)
+    base = F.filter(f"{p}found", lambda d: d["base"])
     firsts = F.transform(base, lambda d: d["first"].cast("long"))
-    return found.withColumn("base", base).select(
+    return found.select(
         "doc_id",
         license_word_count(F.col("text")).alias("n_words"),
         F.size(base).cast("long").alias("n_base"),
         F.array_min(firsts).alias("first_word"),
         F.array_max(firsts).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda d: d["label"]))), ",").alias("base_labels"),
-        F.array_join("license_labels", ",").alias("labels"),
-        F.col("license_score").alias("score"),
-        F.size(F.filter("license_found", lambda d: d["kept"])).cast("long").alias("n_kept"),
+        F.array_join(f"{p}labels", ",").alias("labels"),
+        F.col(f"{p}score").alias("score"),
+        F.size(F.filter(f"{p}found", lambda d: d["kept"])).cast("long").alias("n_kept"),
     )
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    mixed, p = mixing.mix(docs), free_prefix(docs.columns, mixing.PREFIX)
     return mixed.select(
         "doc_id",
-        F.col("mix_size").alias("size"),
-        F.col("mix_source_size").cast("long").alias("source_size"),
-        F.col("mix_target").alias("target"),
-        (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
+        F.col(f"{p}size").alias("size"),
+        F.col(f"{p}source_size").cast("long").alias("source_size"),
+        F.col(f"{p}target").alias("target"),
+        (F.col(f"{p}size") * F.col(f"{p}copies")).alias("taken"),
     )
 
 
@@ -73,14 +76,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents")
+    found, p = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")), free_prefix(docs.columns, decontamination.PREFIX)
     return found.select(
         "doc_id",
-        F.col("bench_n_words").alias("n_words"),
-        F.col("bench_n_hit").alias("n_hit"),
-        F.size("bench_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("bench_items", ","), 256).alias("items_sha256"),
-        F.col("bench_contaminated").alias("contaminated"),
+        F.col(f"{p}n_words").alias("n_words"),
+        F.col(f"{p}n_hit").alias("n_hit"),
+        F.size(f"{p}items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(f"{p}items", ","), 256).alias("items_sha256"),
+        F.col(f"{p}contaminated").alias("contaminated"),
     )
 
 
@@ -96,8 +100,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality.judge(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    p = free_prefix(docs.columns, quality.PREFIX)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return judged.select("doc_id", *(F.col(f"quality_{c}").alias(c) for c in counts))
+    return judged.select("doc_id", *(F.col(f"{p}{c}").alias(c) for c in counts))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
