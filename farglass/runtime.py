@@ -86,3 +86,20 @@ def checked_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
     ``rows`` is the known row count; without it the table is counted. Only for tables of short rows.
     """
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+
+
+#: Keys that hold at least this part of the rows (1 / HOT_SHARE) are joined apart; so many are there at most.
+HOT_SHARE = 10_000
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
+    """Inner join of ``left`` with a table that has one row for each key, whatever a key's share is.
+
+    Keys with at least one ``share``-th of the rows of ``left`` are at most ``share`` keys, so their
+    rows of ``right`` are broadcast, and no task gathers a hot key; the rest is joined as usual. Rows
+    with a null key are dropped. ``left`` is read three times and should be materialised.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_rows"))
+    hot = materialise(counts.where(F.col("_rows") * share >= left.count()).where(F.col(key).isNotNull()).select(key), "hot_keys")
+    few = left.join(F.broadcast(right.join(F.broadcast(hot), key)), key)
+    return few.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
