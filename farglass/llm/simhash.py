@@ -1,23 +1,25 @@
 """SimHash near-duplicates by a positional byte index with count filtering.
 
 A 64-bit fingerprint has eight positional bytes. Fingerprints that differ in at most four bits
-differ in at most four bytes, so they share at least four: the guaranteed minimum. A posting list
-for one byte would hold 1/256 of all fingerprints, so lists are kept for combinations of ``WIDTH``
-positional bytes, chosen so that every four positions contain a chosen combination whole. Two
-fingerprints with the minimum of shared bytes thus meet in a list. For a pair that meets, the shared
-positional bytes are tallied, pairs below the minimum are dropped, and the rest is verified bit by
-bit.
+differ in at most four bytes, so they share at least four: the guaranteed minimum. The index has a
+list for every set of ``WIDTH`` positions and every value of the bytes there (one position alone
+would give lists of 1/256 of all fingerprints). Two fingerprints that share the bytes of positions S
+meet in the list of each WIDTH of them; every meeting is a hit that names its positions. Hits are
+tallied per pair: the positions of all hits together are the shared ones. Pairs with fewer than the
+minimum are dropped, and the rest is verified bit by bit.
 
 Components, not pairs, are what duplicates need, and a group of thousands of near copies has
 millions of pairs. So lists are first reduced by stars: each member is compared with its list's
 smallest fingerprint, and links found make components. A list whose members are in one component by
-then needs no more. In the others only members outside the list's largest component are compared,
-with members of other components. No link between different components is lost: one of its ends
-is outside the largest one.
+then needs no more. In the others only members outside the list's largest component give hits, with
+members of other components. No link between different components is lost: one of its ends is outside
+the largest one, in every list of the pair, so its tally is whole. Lists that are crowded even so
+(``CROWD``) are split by the bytes of further positions, up to the guaranteed minimum; a pair that
+reaches it meets in the part for any such positions.
 
 Nulls: a null text is an empty one; texts without words have fingerprint 0 and are linked like any
 other. A null id counts as no id: it never names a component unless all ids of it are null (then it
-is null). Repeated rows share a component. An empty table gives no rows.
+is null). Repeated rows share a component. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +28,21 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farglass.llm import components
-from farglass.runtime import checked_broadcast, materialise
+from farglass.llm.columns import all_of, free_prefix, own
+from farglass.runtime import checked_broadcast, materialise, split_join
 
 BYTES = 8
 WIDTH = 3
 SEED = 42
+#: A list with more pairs to compare is split by a further position's bytes.
+CROWD = 1024
+#: Shingles of a text whose hashes are in hand at a time.
+CHUNK = 1 << 15
+PREFIX = "near_"
 
 
 def fingerprint(text: str, shingle: int = 4, seed: int = SEED) -> int:
@@ -49,111 +57,147 @@ def fingerprint(text: str, shingle: int = 4, seed: int = SEED) -> int:
         return xxh(line, seed)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
-    hashes = np.array([xxh(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    majority = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(majority, bitorder="little").view("<u8")[0])
+    starts = (ends - lengths)[: len(words) - shingle + 1]
+    ends = ends[shingle - 1 :]
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(starts), CHUNK):
+        hashes = np.array([xxh(line[a:b], seed) for a, b in zip(starts[k : k + CHUNK].tolist(), ends[k : k + CHUNK].tolist())], "<u8")
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+
+
+def text_hash(text_col: str) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(own(text_col))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``own_id, fp`` (the 64 bits as a signed long) for every row."""
+    """``own_id, text_hash, fp`` (XXH64 of the text as it is; the 64 bits as a signed long) for every row."""
 
     def compute(batches):
         for batch in batches:
-            made = np.array([fingerprint(x or "", shingle) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["own_id", "fp"])
+            made = np.array([fingerprint(x or "", shingle) for x in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], names=["own_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("own_id"), F.col(text_col).alias("text")).mapInArrow(compute, "own_id long, fp long")
+    slim = docs.select(own(id_col).cast("long").alias("own_id"), text_hash(text_col).alias("text_hash"), own(text_col).alias("text"))
+    return slim.mapInArrow(compute, "own_id long, text_hash long, fp long")
 
 
-def covering(width: int = WIDTH, shared: int = 4) -> list[tuple[int, ...]]:
-    """Combinations of ``width`` byte positions such that any ``shared`` positions contain one.
+def covering(width: int = WIDTH) -> list[tuple[int, ...]]:
+    """All sets of ``width`` byte positions."""
+    return list(combinations(range(BYTES), width))
 
-    For three of four: positions fall into three blocks in a ring, and a combination lies within a
-    block or has two positions in one block and one in the next. For two: pairs within blocks. For
-    four: all.
-    """
-    block = [p * 3 // BYTES for p in range(BYTES)]
-    if width == shared:
-        return list(combinations(range(BYTES), width))
-    if (width, shared) == (2, 4):
-        return [c for c in combinations(range(BYTES), 2) if block[c[0]] == block[c[1]]]
-    if (width, shared) == (3, 4):
-        counted = [(c, [sum(block[p] == b for p in c) for b in range(3)]) for c in combinations(range(BYTES), 3)]
-        return [c for c, n in counted if 3 in n or any(n[b] == 2 and n[(b + 1) % 3] == 1 for b in range(3))]
-    raise ValueError("no covering known")
 
+def _name(number: int, positions: tuple[int, ...]) -> Column:
+    """A list's name: the number of its positions, then the bytes there."""
+    name = F.lit(number).cast("long")
+    for p in positions:
+        name = F.shiftleft(name, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255))
+    return name
 
-def _shared(x: Column) -> Column:
-    """How many of the eight bytes of an XOR are zero."""
-    return sum((F.when(F.shiftright(x, 8 * k).bitwiseAND(255) == 0, 1).otherwise(0) for k in range(BYTES)), F.lit(0))
 
+def _mask(width: int, name: Column) -> Column:
+    """The positions of a list as a bit set."""
+    masks = F.array(*(F.lit(sum(1 << p for p in c)) for c in covering(width)))
+    return F.get(masks, F.shiftright(name, 8 * width).cast("int"))
 
-def near(a: Column, b: Column, most: int) -> Column:
-    """The count filter, then the exact test."""
-    x = a.bitwiseXOR(b)
-    return (_shared(x) >= BYTES - most) & (F.bit_count(x) <= most)
 
+def postings(nodes: DataFrame, width: int) -> DataFrame:
+    """``list, fp``: each fingerprint in the lists of its bytes."""
+    return nodes.select("fp", F.explode(F.array(*(_name(k, c) for k, c in enumerate(covering(width))))).alias("list"))
 
-def postings(nodes: DataFrame, most: int, width: int) -> DataFrame:
-    """``list, fp``: each fingerprint in the lists of its byte combinations.
 
-    A list's name is the combination's number and the chosen bytes, the others blanked.
-    """
-    names = []
-    for k, combination in enumerate(covering(width, BYTES - most)):
-        mask = sum(255 << 8 * p for p in combination)
-        names.append(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("bytes")))
-    return nodes.select("fp", F.inline(F.array(*names)))
+def _largest(placed: DataFrame) -> DataFrame:
+    """``list, main, pairs`` of lists with several components: the one with most members, and how
+    many pairs there are to compare."""
+    held = placed.groupBy("list", "component").agg(F.count("*").alias("n"))
+    largest = held.groupBy("list").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("parts"))
+    return largest.where("parts > 1").select("list", F.col("top.component").alias("main"), ((F.col("members") - F.col("top.n")) * F.col("members")).alias("pairs"))
+
+
+def _hits(mixed: DataFrame, width: int) -> DataFrame:
+    """``u, v, mask``: meetings of members of different components, from ``list, fp, component, main``."""
+    others = mixed.where("component <> main").select("list", F.col("fp").alias("u"), F.col("component").alias("cu"))
+    everyone = mixed.select("list", F.col("fp").alias("v"), F.col("component").alias("cv"))
+    met = others.join(everyone, "list").where("cu <> cv")
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), _mask(width, F.col("list")).alias("mask"))
 
 
-def links(nodes: DataFrame, most: int = 4, width: int = WIDTH) -> DataFrame:
+def _split(crowded: DataFrame, width: int, wider: int) -> DataFrame:
+    """``list, fp, component`` in the parts of crowded lists: those of more positions around theirs."""
+    base = F.col("base")
+    parts = [F.struct(_name(k, c).alias("list"), F.lit(sum(1 << p for p in c)).alias("mask")) for k, c in enumerate(covering(wider))]
+    told = crowded.withColumn("base", _mask(width, F.col("list"))).select("fp", "component", "base", F.explode(F.array(*parts)).alias("part"))
+    return told.where(F.col("part.mask").bitwiseAND(base) == base).select(F.col("part.list").alias("list"), "fp", "component").distinct()
+
+
+def links(nodes: DataFrame, most: int = 4, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:
     """Links ``u, v`` that connect what fingerprints within ``most`` bits connect."""
-    listed = postings(nodes, most, width)
-    key = ["k", "bytes"]
-    sizes = listed.groupBy(*key).agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    hubs = materialise(sizes.select(*key, "hub"), "hubs")
+    least = BYTES - most
+    if not 1 <= width <= least:
+        raise ValueError(f"lists of {width} positions do not hold every pair that shares {least} bytes")
+
+    def close(a: str, b: str) -> Column:
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
+
+    listed = postings(nodes, width)
+    hubs = materialise(listed.groupBy("list").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("list", "hub"), "hubs")
     # Members of lists of two and more. Most lists have one member and end here.
-    met = materialise(listed.join(hubs, key).select(*key, "fp", "hub"), "postings")
-    stars = materialise(met.where(near(F.col("fp"), F.col("hub"), most) & (F.col("fp") != F.col("hub"))).select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), "stars")
+    met = materialise(listed.join(hubs, "list").select("list", "fp", "hub"), "postings")
+    stars = materialise(met.where(close("fp", "hub") & (F.col("fp") != F.col("hub"))).select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), "stars")
     comps = materialise(components.connected_components(stars), "star_components")
-    n = comps.count()
-    comps = checked_broadcast(comps.withColumnsRenamed({"node": "fp"}), n)
-    placed = materialise(met.join(comps, "fp", "left").select(*key, "fp", F.coalesce("component", "fp").alias("component")), "placed")
-    held = placed.groupBy(*key, "component").agg(F.count("*").alias("n"))
-    largest = held.groupBy(*key).agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = placed.join(largest.select(*key, "main"), key)
-    others = mixed.where("component <> main").select(*key, F.col("fp").alias("u"), F.col("component").alias("cu"))
-    everyone = mixed.select(*key, F.col("fp").alias("v"), F.col("component").alias("cv"))
-    rest = others.join(everyone, key).where((F.col("cu") != F.col("cv")) & near(F.col("u"), F.col("v"), most)).select("u", "v")
-    return stars.union(rest)
+    placed = met.select("list", "fp").join(checked_broadcast(comps.withColumnsRenamed({"node": "fp"})), "fp", "left")
+    placed = materialise(placed.select("list", "fp", F.coalesce("component", "fp").alias("component")), "placed")
+    mixed = materialise(placed.join(_largest(placed), "list"), "mixed")
+    hits = _hits(mixed.where(F.col("pairs") <= crowd), width)
+    crowded = mixed.where(F.col("pairs") > crowd).select("list", "fp", "component")
+    if width < least and not crowded.isEmpty():
+        parts = materialise(_split(crowded, width, least), "parts")
+        hits = hits.union(_hits(parts.join(_largest(parts), "list"), least))
+    elif width == least:
+        hits = _hits(mixed, width)
+    tallied = hits.groupBy("u", "v").agg(F.bit_or("mask").alias("mask"))
+    return stars.union(tallied.where((F.bit_count("mask") >= least) & close("u", "v")).select("u", "v"))
+
+
+def name_components(rows: DataFrame, comps: DataFrame, node: str) -> DataFrame:
+    """``rows (own_id, <node>, ..)`` with ``component`` (a node) and ``component_id`` (its smallest id)."""
+    nodes = rows.groupBy(node).agg(F.min("own_id").alias("first_id"))
+    grouped = nodes.join(comps.withColumnsRenamed({"node": node}), node, "left").select(node, "first_id", F.coalesce("component", node).alias("component"))
+    grouped = materialise(grouped, "grouped")
+    names = materialise(grouped.groupBy("component").agg(F.min("first_id").alias("component_id")), "component_names")
+    named = materialise(split_join(grouped.select(node, "component"), names, "component"), "named")
+    return split_join(rows, named, node)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4, width: int = WIDTH) -> DataFrame:
-    """Rows ``<id_col>, fp, component_id`` for every row of ``docs``."""
+    """Rows ``<id_col>, text_hash, fp, component, component_id`` for every row of ``docs``."""
     prints = materialise(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("own_id").alias("first_id")), "nodes")
-    comps = components.connected_components(links(nodes.select("fp"), most, width))
-    grouped = nodes.join(comps.withColumnsRenamed({"node": "fp"}), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    grouped = materialise(grouped, "grouped")
-    names = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = materialise(grouped.join(names, "component").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select(F.col("own_id").alias(id_col), "fp", "component_id")
+    nodes = materialise(prints.select("fp").distinct(), "nodes")
+    named = name_components(prints, components.connected_components(links(nodes, most, width)), "fp")
+    return named.select(F.col("own_id").alias(id_col), "text_hash", "fp", "component", "component_id")
 
 
-def keep_one(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """One row of each component: that with the smallest id, and one of rows that repeat an id.
+def keep_one(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``found``, with the columns it had.
 
-    An id whose rows differ goes only if none of them stands for its component. Rows with a null id
-    stay, as nothing names them.
+    It is the row with the smallest id (null ids come last), of rows with that id the one whose text
+    has the smallest hash, and of repeated rows the one whose columns have (maps aside). Rows are
+    told by id and text, so different texts under one id are judged apart.
     """
-    stands = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.bool_or(F.col(id_col) == F.col("component_id")).alias("stands"))
-    gone = materialise(stands.where(~F.col("stands")).select(id_col), "gone")
-    twice = materialise(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "twice")
-    kept = docs.join(checked_broadcast(gone), id_col, "left_anti")
+    p = free_prefix([*docs.columns, *found.columns], PREFIX)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash"))
+    counted = materialise(found.groupBy(key.alias("key"), "component").agg(F.count("*").alias("n")), "keys")
+    first = materialise(counted.groupBy("component").agg(F.min("key").alias("key")), "first")
+    gone = materialise(counted.select("key").join(first.select("key"), "key", "left_anti").select("key.id", "key.hash").toDF(f"{p}id", f"{p}hash"), "gone")
+    twice = materialise(counted.where("n > 1").join(first.select("key"), "key", "left_semi").select("key.id", "key.hash").toDF(f"{p}id", f"{p}hash"), "twice")
+    hashed = docs.withColumn(f"{p}text", text_hash(text_col))
+    same = own(id_col).eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}text") == F.col(f"{p}hash"))
+    kept = hashed.join(checked_broadcast(gone), same, "left_anti")
     if twice.isEmpty():
-        return kept.select(*docs.columns)
+        return kept.select(*all_of(docs))
     small = checked_broadcast(twice)
-    once = kept.join(small, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(small, id_col, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+    plain = [own(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = Window.partitionBy(own(id_col), f"{p}text").orderBy(F.xxhash64(*plain))
+    once = kept.join(small, same, "left_semi").withColumn(f"{p}row", F.row_number().over(order)).where(F.col(f"{p}row") == 1)
+    return kept.join(small, same, "left_anti").select(*all_of(docs)).union(once.select(*all_of(docs)))
