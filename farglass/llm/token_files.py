@@ -7,8 +7,8 @@ A data set is a folder of shards. Shard ``k`` has three files:
 * ``offsets-k.bin``  uint64, one more than documents: where each begins within the shard;
 * ``docs-k.bin``     int64 document ids and a byte that is 0 for a null id.
 
-The manifest has each shard's document and token counts and, as prefix sums of these, the position
-of its first document and token in the whole. Shards hold rising ranges of ids, and ids rise
+The manifest, a table, has each shard's document and token counts and, as prefix sums of these, the
+position of its first document and token in the whole. Shards hold rising ranges of ids, and ids rise
 within each, so a document's global start is its shard's base plus its offset.
 
 Nulls: a null text is an empty one (only the end id); a null id comes first. Equal ids are kept as
@@ -20,36 +20,30 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farglass.llm import encoding, store
-from farglass.runtime import scratch_path
+from farglass.llm.columns import own
+from farglass.runtime import materialise, scratch_path
 
+#: Shards go to at most so many tasks.
+READ_TASKS = 10_000
 IDS = np.dtype([("id", "<i8"), ("valid", "u1")])
 
 
-@dataclass(frozen=True)
-class Shard:
-    shard: int
-    n_docs: int
-    n_tokens: int
-    first_doc: int
-    first_token: int
-
-
 @dataclass(frozen=True)
 class TokenSet:
-    """A written data set. ``shards`` has an entry for each file triple, so it stays small."""
+    """A written data set. ``shards`` has a row for each file triple: ``shard, n_docs, n_tokens,
+    first_doc, first_token``."""
 
     folder: str
     dtype: str
-    shards: tuple[Shard, ...]
+    shards: DataFrame
 
 
 def write_token_files(
@@ -91,10 +85,11 @@ def write_token_files(
                 f.commit()
             yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "n_docs": [n], "n_tokens": [total]})
 
-    sorted_docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    rows = sorted(tuple(r) for r in sorted_docs.mapInArrow(write, "shard long, n_docs long, n_tokens long").collect())
-    firsts = zip(accumulate((r[1] for r in rows), initial=0), accumulate((r[2] for r in rows), initial=0))
-    return TokenSet(folder, dtype, tuple(Shard(*r, *first) for r, first in zip(rows, firsts)))
+    sorted_docs = docs.select(own(id_col).cast("long").alias("id"), own(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = materialise(sorted_docs.mapInArrow(write, "shard long, n_docs long, n_tokens long"), "shards")
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    firsts = {f"first_{k}": F.coalesce(F.sum(c).over(before), F.lit(0)) for k, c in (("doc", "n_docs"), ("token", "n_tokens"))}
+    return TokenSet(folder, dtype, materialise(rows.withColumns(firsts), "manifest"))
 
 
 def read_token_files(spark: SparkSession, data: TokenSet, rows: int = 2000) -> DataFrame:
@@ -103,18 +98,18 @@ def read_token_files(spark: SparkSession, data: TokenSet, rows: int = 2000) -> D
     Columns ``doc_id, position, start, n_tokens, ids_crc32``. One task for each shard; the files
     are memory-mapped and ``rows`` documents are in hand at a time.
     """
-    folder, dtype, shards = data.folder, np.dtype(data.dtype), {s.shard: s for s in data.shards}
+    folder, dtype = data.folder, np.dtype(data.dtype)
     schema = "doc_id long, position long, start long, n_tokens long, ids_crc32 long"
 
     def read(batches):
         for batch in batches:
-            for k in filter(shards.__contains__, batch.column(0).to_pylist()):
-                s, name = shards[k], f"{k:06d}.bin"
+            for s in batch.to_pylist():
+                k, name = s["shard"], f"{s['shard']:06d}.bin"
                 with store.open_mapped(folder, f"tokens-{name}") as tokens, store.open_mapped(folder, f"offsets-{name}") as offsets, store.open_mapped(folder, f"docs-{name}") as ids:
-                    if tokens.size() != s.n_tokens * dtype.itemsize or offsets.size() != 8 * (s.n_docs + 1):
+                    if tokens.size() != s["n_tokens"] * dtype.itemsize or offsets.size() != 8 * (s["n_docs"] + 1):
                         raise ValueError(f"shard {k} of {folder} does not agree with its manifest")
-                    for at in range(0, s.n_docs, rows):
-                        n = min(rows, s.n_docs - at)
+                    for at in range(0, s["n_docs"], rows):
+                        n = min(rows, s["n_docs"] - at)
                         own = np.frombuffer(ids.read_at(n * IDS.itemsize, at * IDS.itemsize), IDS)
                         ends = np.frombuffer(offsets.read_at(8 * (n + 1), 8 * at), "<u8").astype(np.int64)
                         crcs = []
@@ -124,14 +119,12 @@ def read_token_files(spark: SparkSession, data: TokenSet, rows: int = 2000) -> D
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(own["id"].astype(np.int64), mask=own["valid"] == 0),
-                                pa.array(np.arange(s.first_doc + at, s.first_doc + at + n)),
-                                pa.array(s.first_token + ends[:-1]),
+                                pa.array(np.arange(s["first_doc"] + at, s["first_doc"] + at + n)),
+                                pa.array(s["first_token"] + ends[:-1]),
                                 pa.array(ends[1:] - ends[:-1]),
                                 pa.array(crcs, pa.int64()),
                             ],
                             names=["doc_id", "position", "start", "n_tokens", "ids_crc32"],
                         )
 
-    if not shards:
-        return spark.createDataFrame([], schema)
-    return spark.range(0, max(shards) + 1, 1, max(shards) + 1).mapInArrow(read, schema)
+    return data.shards.repartition(max(1, min(data.shards.count(), READ_TASKS))).mapInArrow(read, schema)
