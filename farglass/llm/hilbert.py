@@ -6,7 +6,7 @@ compact region of the grid, so a filter on any of the dimensions can skip most s
 minima and maxima.
 
 Quantising: a number goes to its place on a logarithmic scale; a string to its rank among the
-distinct values, scaled to the grid; null to 0. Ties on the curve are ordered by the text's CRC and
+distinct values (a distributed sort), scaled to the grid; null to 0. Ties on the curve are ordered by the text's CRC and
 the id, so equal texts with equal metadata stand side by side. The ``rows`` law holds: counts of any
 two shards differ by one at most.
 
@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farglass.runtime import checked_broadcast, materialise
+from farglass.llm.columns import own
+from farglass.runtime import materialise
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -60,42 +61,53 @@ def log_cell(value: Column, bits: int, least: float = 1.0, most: float = float(1
     return F.coalesce(F.least(at, F.lit(cells - 1)), F.lit(0)).cast("int")
 
 
-def value_cells(df: DataFrame, column: str, bits: int) -> DataFrame:
-    """Cell of each distinct string by its rank: ``value, cell``. A row for each distinct value."""
-    distinct = df.select(F.col(column).cast("string").alias("value")).where(F.col(column).isNotNull()).distinct()
-    place = F.percent_rank().over(Window.orderBy("value"))
-    return distinct.select("value", (F.floor(place * ((1 << bits) - 2)) + 1).cast("int").alias("cell"))
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``rank`` (from 0, in the given order) and ``total``: a range sort whose partitions'
+    bases are prefix sums of their counts, so that no task sees all rows."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The partition number is in the upper bits of this id, the row's place in it in the lower 33.
+    ordered = materialise(ordered.withColumn("place", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("place", 33)
+    counts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    # A row for each partition: its base is the number of rows in those before it.
+    bases = counts.select(F.col("part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    placed = ordered.withColumn("part", part).join(F.broadcast(bases), "part")
+    return placed.withColumn("rank", F.col("base") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "place", "base")
+
+
+def string_cell(df: DataFrame, column: str, bits: int) -> Column:
+    """Cell of a string by its rank among the distinct values; null is in cell 0.
+
+    Only the least value of each cell, fewer than ``2 ** bits`` strings, comes to the driver.
+    """
+    distinct = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
+    cell = (F.floor(F.col("rank") * ((1 << bits) - 2) / F.greatest(F.col("total") - 1, F.lit(1))) + 1).cast("int")
+    firsts = numbered(distinct, "value").groupBy(cell.alias("cell")).agg(F.min(F.struct("rank", "value"))["value"].alias("least")).collect()
+    cells = {r.cell: r.least for r in sorted(firsts)}
+    bounds = F.array(*map(F.lit, cells.values())) if cells else F.array().cast("array<string>")
+    numbers = F.array(*map(F.lit, (0, *cells)))
+    return F.coalesce(F.get(numbers, F.size(F.filter(bounds, lambda x: x <= F.col(column)))), F.lit(0))
 
 
 def shard_rows(
     docs: DataFrame, *, shards: int = 16, bits: int = 6, id_col: str = "doc_id", text_col: str = "text", strings: tuple[str, ...] = ("lang", "source"), numbers: dict[str, Column] | None = None
 ) -> DataFrame:
     """Rows ``<id_col>, size, text_crc32, law, shard, slot, grown_shard, curve``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(own(text_col), F.lit(""))
     numbers = {"size": F.octet_length(text) + 1} if numbers is None else numbers
     cells = {f"n{k}": log_cell(v, bits) for k, v in enumerate(numbers.values())}
     slim = docs.select(
-        F.col(id_col).alias("own_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"), *(v.alias(k) for k, v in cells.items()), *(F.col(c).cast("string").alias(f"s{k}") for k, c in enumerate(strings))
+        own(id_col).alias("own_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"), *(v.alias(k) for k, v in cells.items()), *(own(c).cast("string").alias(f"s{k}") for k, c in enumerate(strings))
     )
     slim = materialise(slim, "shard_keys")
-    for k in range(len(strings)):
-        ranked = materialise(value_cells(slim, f"s{k}", bits), "cells").withColumnsRenamed({"value": f"v{k}", "cell": f"c{k}"})
-        slim = slim.join(checked_broadcast(ranked), F.col(f"s{k}") == F.col(f"v{k}"), "left")
-    dims = [F.col(f"n{k}") for k in range(len(cells))] + [F.coalesce(F.col(f"c{k}"), F.lit(0)) for k in range(len(strings))]
+    dims = [F.col(f"n{k}") for k in range(len(cells))] + [F.when(F.col(f"s{k}").isNull(), F.lit(0)).otherwise(string_cell(slim, f"s{k}", bits)) for k in range(len(strings))]
 
     @F.pandas_udf("long")
     def curve(*columns: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns], axis=1), bits))
 
     placed = slim.select("own_id", "size", "crc", curve(*dims).alias("curve"))
-    ordered = placed.repartitionByRange("curve", "crc", "own_id").sortWithinPartitions("curve", "crc", "own_id")
-    # The partition number is in the upper bits of this id, the row's place in it in the lower 33.
-    ordered = materialise(ordered.withColumn("place", F.monotonically_increasing_id()), "curve_order")
-    part = F.shiftright("place", 33)
-    counts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    # A row for each partition: its base is the number of rows in those before it.
-    bases = counts.select(F.col("part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    ranked = ordered.withColumn("part", part).join(F.broadcast(bases), "part").withColumn("rank", F.col("base") + F.col("place").bitwiseAND((1 << 33) - 1))
+    ranked = numbered(placed, "curve", "crc", "own_id")
     return ranked.withColumn("shard", F.expr(f"(rank * {shards}) div total").cast("int")).select(
         F.col("own_id").alias(id_col),
         "size",
