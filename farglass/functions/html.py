@@ -41,7 +41,10 @@ def segments(html: str | None, tags: Sequence[str]) -> list[str]:
 
 
 def tag_texts(html: Column, tags: Sequence[str] = ("p",)) -> Column:
-    """Array of the texts of the chosen tags; null gives an empty array."""
+    """Array of the texts of the chosen tags; null gives an empty array.
+
+    Markup needs a parser, which built-in functions lack, so this runs in Python, a batch at a time.
+    """
 
     @F.pandas_udf("array<string>")
     def extract(pages: pd.Series) -> pd.Series:
@@ -51,10 +54,18 @@ def tag_texts(html: Column, tags: Sequence[str] = ("p",)) -> Column:
 
 
 def decode_references(text: Column) -> Column:
-    """Character references decoded; texts without an ampersand stay on the JVM's side."""
+    """Character references decoded, as HTML does it: ``&amp`` needs no semicolon, ``&am`` is text.
+
+    Texts that hold no others than the five of XML, each with its semicolon, are decoded on the JVM's
+    side; only the rest is sent to Python (nulls stand for the others).
+    """
 
     @F.pandas_udf("string")
     def decode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else unescape(x))
+        return texts.map(unescape, na_action="ignore")
 
-    return F.when(F.contains(text, F.lit("&")), decode(text)).otherwise(text)
+    plain = text
+    for name, character in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(character))
+    simple = text.rlike("^(?:[^&]|&(?:lt|gt|quot|#39|amp);)*+$")
+    return F.when(simple, plain).otherwise(decode(F.when(~simple, text)))

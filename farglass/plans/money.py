@@ -1,4 +1,8 @@
-"""Queries on funding and time series."""
+"""Queries on funding and time series.
+
+Sums are rounded at a digit where no exact value can lie halfway (cents have two, thousands of them
+five), so that the order of a sum never decides the last digit.
+"""
 
 from __future__ import annotations
 
@@ -32,11 +36,11 @@ def a1_deduplicate_projects(spark, d):
     return funding.deduplicate_projects(S.projects(spark, d)).select("title", "description", "start", "amount")
 
 
-@query(f"""{R}, m as (select date_trunc('month', announced_on)::date as period, count(*) as n_rounds, round(sum(amount) / 1000, 4) as raised from rounds group by 1),
+@query(f"""{R}, m as (select date_trunc('month', announced_on)::date as period, count(*) as n_rounds, round(sum(amount::decimal(18, 2))::double / 1000, 5) as raised from rounds group by 1),
 cal as (select unnest(generate_series(date '1994-01-01', date '2002-12-01', interval 1 month))::date as period)
 select period, coalesce(n_rounds, 0) as n_rounds, coalesce(raised, 0) as raised from cal left join m using (period)""")
 def a2_monthly_funding(spark, d):
-    totals = series.period_totals(S.rounds(spark, d), "announced_on", "month", {"n_rounds": F.count("*"), "raised": F.round(F.sum("amount") / 1000, 4)})
+    totals = series.period_totals(S.rounds(spark, d), "announced_on", "month", {"n_rounds": F.count("*"), "raised": F.round(F.sum(F.col("amount").cast("decimal(18,2)")).cast("double") / 1000, 5)})
     return series.fill_periods(totals, "month", 1994, 2002)
 
 
@@ -77,11 +81,11 @@ def a27_grouping_sets(spark, d):
     return S.companies(spark, d).groupingSets([["country"], ["country", "industry"], []], "country", "industry").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
-@query(f"{R} select kind, count(*) as n, round(avg(amount), 3) as mean, round(stddev_samp(amount), 3) as sd, min(amount) as low, round(quantile_cont(amount, 0.25), 3) as q1, round(quantile_cont(amount, 0.5), 3) as q2, round(quantile_cont(amount, 0.75), 3) as q3, max(amount) as high from rounds group by kind")
+@query(f"{R} select kind, count(*) as n, round(avg(amount), 6) as mean, round(stddev_samp(amount), 3) as sd, min(amount) as low, round(quantile_cont(amount, 0.25), 6) as q1, round(quantile_cont(amount, 0.5), 6) as q2, round(quantile_cont(amount, 0.75), 6) as q3, max(amount) as high from rounds group by kind")
 def a29_summary_statistics(spark, d):
     q = F.percentile("amount", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return S.rounds(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("amount"), 3).alias("mean"), F.round(F.stddev_samp("amount"), 3).alias("sd"), F.min("amount").alias("low"), q.alias("q"), F.max("amount").alias("high")).select(
-        "kind", "n", "mean", "sd", "low", *(F.round(F.col("q")[k], 3).alias(f"q{k + 1}") for k in range(3)), "high"
+    return S.rounds(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("amount"), 6).alias("mean"), F.round(F.stddev_samp("amount"), 3).alias("sd"), F.min("amount").alias("low"), q.alias("q"), F.max("amount").alias("high")).select(
+        "kind", "n", "mean", "sd", "low", *(F.round(F.col("q")[k], 6).alias(f"q{k + 1}") for k in range(3)), "high"
     )
 
 
@@ -152,11 +156,11 @@ ends as (select currency, min(day) as a, max(day) as b from rates group by curre
 x as (select id, announced_on, amount, case id % 3 when 0 then 'GBP' when 1 then 'USD' else 'EUR' end as currency from rounds),
 n as (select x.*, greatest(least(announced_on, b), a) as near from x left join ends using (currency)),
 j as (select n.*, r0 + coalesce((near - d0) / nullif(d1 - d0, 0), 0) * (coalesce(r1, r0) - r0) as rate from n left join spans on n.currency = spans.currency and near >= d0 and (near < d1 or (d1 is null and near = d0)))
-select id, currency, round(case when currency = 'GBP' then amount when announced_on >= date '1996-01-01' then amount / rate end, 4) as gbp from j""")
+select id, currency, round(case when currency = 'GBP' then amount when announced_on >= date '1996-01-01' then amount / rate end, 8) as gbp from j""")
 def t9_convert_currency(spark, d):
     rates = spark.createDataFrame(RATE_ROWS, "currency string, day date, rate double")
     rows = S.rounds(spark, d).withColumn("currency", F.element_at(F.array(F.lit("GBP"), F.lit("USD"), F.lit("EUR")), (F.col("id") % 3 + 1).cast("int")))
-    return series.convert_currency(rows, rates, amount="amount", currency="currency", day="announced_on", out="gbp", earliest=date(1996, 1, 1)).select("id", "currency", F.round("gbp", 4).alias("gbp"))
+    return series.convert_currency(rows, rates, amount="amount", currency="currency", day="announced_on", out="gbp", earliest=date(1996, 1, 1)).select("id", "currency", F.round("gbp", 8).alias("gbp"))
 
 
 MAGNITUDE = YEARLY + """, s as (select *, avg(raised) over (partition by industry order by year rows between 2 preceding and current row) as sm from yearly),

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a table of short rows may be sent to every executor.
@@ -103,3 +103,18 @@ def split_join(left: DataFrame, right: DataFrame, key: str, share: int = HOT_SHA
     hot = materialise(counts.where(F.col("_rows") * share >= left.count()).where(F.col(key).isNotNull()).select(key), "hot_keys")
     few = left.join(F.broadcast(right.join(F.broadcast(hot), key)), key)
     return few.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
+
+
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` with ``rank`` (from 0, in the given order) and ``total``: a range sort whose partitions'
+    bases are prefix sums of their counts, so that no task sees all rows."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The partition number is in the upper bits of this id, the row's place in it in the lower 33.
+    ordered = materialise(ordered.withColumn("_place", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_place", 33)
+    counts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    # A row for each partition: its base is the number of rows in those before it.
+    before = F.sum("n").over(Window.orderBy("_part")) - F.col("n")
+    bases = counts.select("_part", before.alias("_base"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    placed = ordered.withColumn("_part", part).join(F.broadcast(bases), "_part")
+    return placed.withColumn("rank", F.col("_base") + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_part", "_place", "_base")
