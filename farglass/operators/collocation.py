@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farglass.runtime import materialise
+
 
 def tokens(text: Column, stop_words: Sequence[str] = (), least: int = 2) -> Column:
     """Lower-case letter tokens that are not links, stop words or too short."""
@@ -52,17 +54,64 @@ def positive_pmi(table: DataFrame, pairs: DataFrame, n_sentences: DataFrame, by:
     """Pairs with ``pmi`` above 0: log2 of the joint share over the shares, the context's share
     raised to ``power``. ``n_sentences`` has the sentences of each ``by`` group as ``n``."""
     totals = table.groupBy(*by, "ngram").agg(F.sum("tf").alias("total"))
+    return _positive(totals, pairs.where(F.col("both") >= least), n_sentences, by, power)
+
+
+def _positive(totals: DataFrame, pairs: DataFrame, n_sentences: DataFrame, by: Sequence[str], power: float) -> DataFrame:
     joined = (
-        pairs.where(F.col("both") >= least)
-        .join(totals.withColumnsRenamed({"ngram": "term", "total": "n1"}), [*by, "term"])
+        pairs.join(totals.withColumnsRenamed({"ngram": "term", "total": "n1"}), [*by, "term"])
         .join(totals.withColumnRenamed("total", "n2"), [*by, "ngram"])
     )
-    joined = joined.join(n_sentences, list(by)) if by else joined.crossJoin(F.broadcast(n_sentences))
+    joined = joined.join(n_sentences, list(by)) if by else joined.crossJoin(F.broadcast(n_sentences))  # one row
     n = F.col("n").cast("double")
     pmi = F.log2((F.col("both") / n) / ((F.col("n1") / n) * (F.pow("n2", F.lit(power)) / F.pow(n, F.lit(power)))))
     return joined.withColumn("pmi", pmi).where("pmi > 0").select(*by, "term", "ngram", "both", "pmi")
 
 
+def term_counts(sentences: DataFrame, words: str, by: Sequence[str], longest: int = 2, min_sentences: int = 2) -> DataFrame:
+    """``by, ngram, total``: occurrences of the n-grams that are in ``min_sentences`` sentences or more.
+
+    One pass over the sentences, without a table of (sentence, n-gram): every occurrence counts for
+    the total, every different n-gram of a sentence for its sentences. The result is stored.
+    """
+    made = sentences.select(*by, ngrams(F.col(words), longest).alias("all"))
+    counted = F.concat(
+        F.transform("all", lambda x: F.struct(x.alias("ngram"), F.lit(1).alias("one"), F.lit(0).alias("sentence"))),
+        F.transform(F.array_distinct("all"), lambda x: F.struct(x.alias("ngram"), F.lit(0).alias("one"), F.lit(1).alias("sentence"))),
+    )
+    sums = made.select(*by, F.inline(counted)).groupBy(*by, "ngram").agg(F.sum("one").alias("total"), F.sum("sentence").alias("sentences"))
+    sums = materialise(sums, "ngram_sums")
+    known = sums.groupBy("ngram").agg(F.sum("sentences").alias("n")).where(F.col("n") >= min_sentences).select("ngram")
+    return materialise(sums.join(known, "ngram", "left_semi").select(*by, "ngram", "total"), "ngram_totals")
+
+
+def term_pairs(sentences: DataFrame, words: str, counts: DataFrame, by: Sequence[str], terms: Sequence[str], longest: int = 2) -> DataFrame:
+    """``by, term, ngram, both`` as ``cooccurrence`` has them, straight from the sentences.
+
+    A sentence's product of frequencies is its occurrences of the n-gram, each counted as often as the
+    term occurs. So only sentences with a term are opened, and nothing is joined but the n-grams
+    that ``counts`` (``by, ngram``) holds.
+    """
+    grams = ngrams(F.col(words), longest)
+
+    def times(term: str) -> Column:
+        return F.struct(F.lit(term).alias("term"), F.size(F.filter("all", lambda x: x == F.lit(term))).alias("n"))
+
+    hits = F.filter(F.array(*map(times, terms)), lambda h: h["n"] > 0)
+    opened = sentences.select(*by, grams.alias("all")).select(*by, "all", F.explode(hits).alias("hit"))
+    pairs = opened.select(*by, F.col("hit.term").alias("term"), F.col("hit.n").alias("n"), F.explode("all").alias("ngram")).where("term <> ngram")
+    both = pairs.groupBy(*by, "term", "ngram").agg(F.sum("n").alias("both"))
+    known = counts.select("ngram").distinct()
+    return both.join(known, "ngram", "left_semi").where(F.col("term").isin(list(terms))).join(known.withColumnRenamed("ngram", "term"), "term", "left_semi").select(*by, "term", "ngram", "both")
+
+
+def scored_pairs(sentences: DataFrame, words: str, by: Sequence[str], terms: Sequence[str], longest: int = 2, min_sentences: int = 2, power: float = 0.75) -> DataFrame:
+    """``positive_pmi`` of the terms with all n-grams of their sentences."""
+    counts = term_counts(sentences, words, by, longest, min_sentences)
+    pairs = term_pairs(sentences, words, counts, by, terms, longest)
+    return _positive(counts, pairs, sentences.groupBy(*by).agg(F.count("*").alias("n")), by, power)
+
+
 def ranked(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """``rank`` from 0 by falling co-occurrence, and ``share``, the rank over the group's size."""
     group = Window.partitionBy(*by, "term")
@@ -84,12 +133,17 @@ def over_time(combined: DataFrame, year: str = "year") -> DataFrame:
 
 
 def phrase_scores(sentences: DataFrame, words: str, min_count: int = 5) -> DataFrame:
-    """``a, b, n, npmi`` of neighbouring words."""
-    rows = sentences.select(F.col(words).alias("w"))
-    one = rows.select(F.explode("w").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b")))
-    two = rows.where(F.size("w") > 1).select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    """``a, b, n, npmi`` of neighbouring words.
+
+    Each word is counted with the word behind it (null for the last one) in one pass; words' own
+    counts are sums of that, and words too rare for any phrase are left out before they are joined.
+    """
+    following = F.arrays_zip(F.col(words).alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"))
+    pairs = materialise(sentences.select(F.inline(following)).groupBy("a", "b").agg(F.count("*").alias("n")), "word_pairs")
+    one = pairs.groupBy(F.col("a").alias("x")).agg(F.sum("n").alias("n"))
     total = one.agg(F.sum("n").alias("total"))
+    one = materialise(one.where(F.col("n") >= min_count), "word_counts")
+    two = pairs.where((F.col("n") >= min_count) & F.col("b").isNotNull())
     joined = two.join(one.select(F.col("x").alias("a"), F.col("n").alias("na")), "a").join(one.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b").crossJoin(F.broadcast(total))
     p = F.col("n") / F.col("total")
     npmi = F.ln(p / ((F.col("na") / F.col("total")) * (F.col("nb") / F.col("total")))) / -F.ln(p)
@@ -116,6 +170,17 @@ def merge_phrases(sentences: DataFrame, words: str, phrases: DataFrame, keys: Se
     return kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]).alias(words))
 
 
+def merge_ngrams(sentences: DataFrame, words: str, keys: Sequence[str], longest: int = 3, min_count: int = 5, threshold: float = 0.35) -> DataFrame:
+    """Phrases of up to ``longest`` words: scoring and merging, ``longest`` - 1 times over.
+
+    A phrase that one round has made is a word of the next. Sentences without words are left out.
+    """
+    for turn in range(longest - 1):
+        accepted = phrase_scores(sentences, words, min_count).where(F.col("npmi") > threshold)
+        sentences = materialise(merge_phrases(sentences, words, accepted, keys), f"merged_{turn + 1}")
+    return sentences
+
+
 def candidate_phrases(text: Column, stop_words: Sequence[str]) -> Column:
     """Runs of words between stop words and marks: an approximation of noun chunks."""
     cut = F.regexp_replace(F.lower(text), r"(?<![\p{L}])(?:" + "|".join(stop_words) + r")(?![\p{L}])", "|")

@@ -12,7 +12,7 @@ from farglass.operators import checks, collocation, funding, linking, search, sh
 from farglass.plans import standins as S
 from farglass.plans.more import docs
 from farglass.plans.registry import query
-from farglass.plans.texts import SENTENCES, TOKENS, _table
+from farglass.plans.texts import SENTENCES, TERMS, TOKENS, _scored, _sentences
 from farglass.runtime import numbered
 
 R, C, P = f"with {S.ROUNDS}", f"with {S.COMPANIES}", f"with {S.PROJECTS}"
@@ -62,23 +62,24 @@ def j22_website_join(spark, d):
     return p.join(known, "host", "left").select(F.col("id").alias("left_id"), "right_id", "host")
 
 
+def _pairs(spark, d):
+    sentences = _sentences(spark, d)
+    return collocation.term_pairs(sentences, "words", collocation.term_counts(sentences, "words", ["year"]), ["year"], TERMS)
+
+
 @query(TOKENS + ' select year, term, ngram, "both" from co')
 def n6_cooccurrence(spark, d):
-    return collocation.cooccurrence(_table(spark, d)[1], ["id", "year", "pos"], ["year"], ["the", "und", "que"])
+    return _pairs(spark, d)
 
 
 @query(TOKENS + ' select year, term, ngram, row_number() over (partition by year, term order by "both" desc, ngram) - 1 as rank, round((row_number() over (partition by year, term order by "both" desc, ngram) - 1) / count(*) over (partition by year, term), 9) as share from co')
 def w7_ranked_terms(spark, d):
-    pairs = collocation.cooccurrence(_table(spark, d)[1], ["id", "year", "pos"], ["year"], ["the", "und", "que"])
-    return collocation.ranked(pairs, ["year"]).select("year", "term", "ngram", "rank", F.round("share", 9).alias("share"))
+    return collocation.ranked(_pairs(spark, d), ["year"]).select("year", "term", "ngram", "rank", F.round("share", 9).alias("share"))
 
 
 @query(TOKENS + ' select year, ngram, round(max(pmi), 6) as pmi, sum("both")::bigint as freq from pm where pmi > 0 group by all having sum("both") > 2')
 def n8_n9_combined_terms(spark, d):
-    cut, table = _table(spark, d)
-    pairs = collocation.cooccurrence(table, ["id", "year", "pos"], ["year"], ["the", "und", "que"])
-    scored = collocation.positive_pmi(table, pairs, cut.groupBy("year").agg(F.count("*").alias("n")), ["year"])
-    return collocation.combine_terms(scored, ["year"]).select("year", "ngram", F.round("pmi", 6).alias("pmi"), "freq")
+    return collocation.combine_terms(_scored(spark, d), ["year"]).select("year", "ngram", F.round("pmi", 6).alias("pmi"), "freq")
 
 
 @query("select o_custkey as org, o_orderkey as id, row_number() over (order by o_orderdate, o_orderkey) - 1 as round_id from orders")

@@ -122,6 +122,17 @@ ns as (select year, count(*) as n from sentences group by year), tot as (select
 pm as (select co.year, co.term, co.ngram, co."both", log2((co."both" / n) / ((t1.total / n) * (pow(t2.total, 0.75) / pow(n, 0.75)))) as pmi from co join ns using (year) join tot t1 on t1.year = co.year and t1.ngram = co.term join tot t2 on t2.year = co.year and t2.ngram = co.ngram)"""
 
 
+TERMS = ("the", "und", "que")
+
+
+def _sentences(spark, d):
+    return search.sentences(docs(spark, d), ["id", "year"], "text").select("id", "year", "pos", collocation.tokens(F.col("sentence")).alias("words"))
+
+
+def _scored(spark, d):
+    return collocation.scored_pairs(_sentences(spark, d), "words", ["year"], TERMS)
+
+
 def _table(spark, d):
     cut = search.sentences(docs(spark, d), ["id", "year"], "text")
     words = cut.withColumn("words", collocation.tokens(F.col("sentence")))
@@ -135,33 +146,39 @@ def n5_term_table(spark, d):
 
 @query(TOKENS + ' select year, term, ngram, "both", round(pmi, 6) as pmi from pm where pmi > 0')
 def n7_positive_pmi(spark, d):
-    cut, table = _table(spark, d)
-    pairs = collocation.cooccurrence(table, ["id", "year", "pos"], ["year"], ["the", "und", "que"])
-    found = collocation.positive_pmi(table, pairs, cut.groupBy("year").agg(F.count("*").alias("n")), ["year"])
-    return found.withColumn("pmi", F.round("pmi", 6))
+    return _scored(spark, d).withColumn("pmi", F.round("pmi", 6))
 
 
 @query(TOKENS + """, cb as (select year, ngram, max(pmi) as pmi, sum("both") as freq from pm where pmi > 0 group by all having sum("both") > 2), rk as (select *, row_number() over (partition by year order by freq desc, ngram) - 1 as rank from cb)
 select ngram, min(year) as first_year, count(*) as n_years, round(stddev_pop(1 / (rank + 1)), 3) as sd_inverse_rank, round(avg(pmi), 3) as mean_pmi from rk group by ngram""")
 def n10_terms_over_time(spark, d):
-    cut, table = _table(spark, d)
-    pairs = collocation.cooccurrence(table, ["id", "year", "pos"], ["year"], ["the", "und", "que"])
-    scored = collocation.positive_pmi(table, pairs, cut.groupBy("year").agg(F.count("*").alias("n")), ["year"])
-    return collocation.over_time(collocation.combine_terms(scored, ["year"]))
+    return collocation.over_time(collocation.combine_terms(_scored(spark, d), ["year"]))
 
 
-@query(TOKENS + """, ones as (select ngram as x, count(*) as n from uni group by ngram), tl as (select count(*) as total from uni), twos as (select w[i] as a, w[i + 1] as b, count(*) as n from (select w, unnest(range(1, len(w))) as i from tok) group by all having count(*) >= 5)
-select a, b, t.n, round(ln((t.n / total) / ((o1.n / total) * (o2.n / total))) / -ln(t.n / total), 6) as npmi from twos t join ones o1 on a = o1.x join ones o2 on b = o2.x, tl""")
+@query(SENTENCES + """, f as materialized (select w[i] as a, w[i + 1] as b from (select w, unnest(range(1, len(w) + 1)) as i from (select list_filter(regexp_split_to_array(lower(sentence), '[^\\p{L}'']+'), lambda w: len(w) >= 2) as w from sentences))),
+ones as (select a, count(*) as n from f group by a), tl as (select sum(n) as total from ones), twos as (select a, b, count(*) as n from f where b is not null group by all having count(*) >= 5)
+select t.a, t.b, t.n, round(ln((t.n / total) / ((x.n / total) * (y.n / total))) / -ln(t.n / total), 6) as npmi from twos t join ones x on t.a = x.a join ones y on t.b = y.a, tl""")
 def n2_phrase_scores(spark, d):
-    words = search.sentences(docs(spark, d), ["id"], "text").select(collocation.tokens(F.col("sentence")).alias("words"))
-    return collocation.phrase_scores(words, "words").withColumn("npmi", F.round("npmi", 6))
+    return collocation.phrase_scores(_sentences(spark, d), "words").withColumn("npmi", F.round("npmi", 6))
 
 
-@query()
+def _merge_sql(turn: int) -> str:
+    """One round: pairs' scores, and in runs of accepted pairs every other one merged."""
+    t = f"m{turn - 1}" if turn > 1 else "m0"
+    return f"""f{turn} as materialized (select id, pos, i, w[i] as a, w[i + 1] as b from (select id, pos, w, unnest(range(1, len(w) + 1)) as i from {t})),
+o{turn} as materialized (select a, count(*) as n from f{turn} group by a), l{turn} as (select sum(n) as total from o{turn}), p{turn} as (select a, b, count(*) as n from f{turn} where b is not null group by all having count(*) >= 5),
+k{turn} as materialized (select p.a, p.b, 1 as known from p{turn} p join o{turn} x on p.a = x.a join o{turn} y on p.b = y.a, l{turn} where ln((p.n / total) / ((x.n / total) * (y.n / total))) / -ln(p.n / total) > 0.35),
+r{turn} as (select *, sum(1 - known) over line as run from (select f.*, coalesce(known, 0) as known from f{turn} f left join k{turn} k on f.a = k.a and f.b = k.b) window line as (partition by id, pos order by i)),
+s{turn} as (select *, known = 1 and (sum(known) over (partition by id, pos, run order by i) - 1) % 2 = 0 as starts from r{turn}),
+g{turn} as (select *, coalesce(lag(starts) over (partition by id, pos order by i), false) as inside from s{turn}),
+m{turn} as materialized (select id, pos, list(case when starts then a || '_' || b else a end order by i) as w from g{turn} where not inside group by id, pos)"""
+
+
+@query(SENTENCES + f""", m0 as (select id, pos, list_filter(regexp_split_to_array(lower(sentence), '[^\p{{L}}'']+'), lambda w: len(w) >= 2) as w from sentences), {_merge_sql(1)}, {_merge_sql(2)}
+select id, pos, w as words from m2""")
 def n2_merge_phrases(spark, d):
-    cut = search.sentences(docs(spark, d).where("lang = 'en'"), ["id"], "text").select("id", "pos", collocation.tokens(F.col("sentence")).alias("words"))
-    accepted = collocation.phrase_scores(cut, "words").where("npmi > 0.35")
-    return collocation.merge_phrases(cut, "words", accepted, ["id", "pos"])
+    """Phrases of up to three words (and of four, where two pairs meet)."""
+    return collocation.merge_ngrams(_sentences(spark, d).select("id", "pos", "words"), "words", ["id", "pos"]).select("id", F.col("pos").cast("long").alias("pos"), "words")
 
 
 @query()
