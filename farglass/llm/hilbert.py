@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farglass.llm.columns import own
-from farglass.runtime import materialise
+from farglass.runtime import materialise, numbered
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -61,20 +61,6 @@ def log_cell(value: Column, bits: int, least: float = 1.0, most: float = float(1
     return F.coalesce(F.least(at, F.lit(cells - 1)), F.lit(0)).cast("int")
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` with ``rank`` (from 0, in the given order) and ``total``: a range sort whose partitions'
-    bases are prefix sums of their counts, so that no task sees all rows."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    # The partition number is in the upper bits of this id, the row's place in it in the lower 33.
-    ordered = materialise(ordered.withColumn("place", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("place", 33)
-    counts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    # A row for each partition: its base is the number of rows in those before it.
-    bases = counts.select(F.col("part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    placed = ordered.withColumn("part", part).join(F.broadcast(bases), "part")
-    return placed.withColumn("rank", F.col("base") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "place", "base")
-
-
 def string_cell(df: DataFrame, column: str, bits: int) -> Column:
     """Cell of a string by its rank among the distinct values; null is in cell 0.
 
