@@ -25,7 +25,7 @@ from farglass.llm.words import SEPARATORS, spaced
 RULE = "array<struct<number:int,label:string,priority:int,confidence:double,base:boolean,gates:array<array<string>>,pattern:string>>"
 FOUND = "array<struct<first:int,stop:int,number:int,label:string,priority:int,confidence:double,base:boolean,kept:boolean>>"
 #: A text without any of these has no match: every rule's matches hold one of them.
-ANCHORS = ("licen", "hereby", "redistribution", "redistribute", "domain", "creative", "copyleft")
+ANCHORS = ("licen", "hereby", "redistribut", "domain", "creative", "copyleft", "copyright", "warrant", "prohibited", "proprietary", "reserved", "disassemble")
 LEVELS = 4
 PREFIX = "license_"
 

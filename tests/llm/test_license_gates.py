@@ -51,3 +51,30 @@ def test_scan_finds_what_gates_used_to_drop(spark):
     for r in licenses.scan(frame(spark, LOST).drop("license_text")).collect():
         _, _, labels, score = brute_license(r.text)
         assert r.license_labels and (r.license_labels, r.license_score) == (labels, score), r.text
+
+
+TEXTS = [
+    ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "bsd"),
+    ("This program is distributed in the hope that it will be useful,\n but WITHOUT ANY WARRANTY", "gpl"),
+    ("either version 2.1 of the License, or (at your option) any later version.", "lgpl-2.1"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+    ("https://creativecommons.org/licenses/by-nc/4.0/", "cc-by-nc"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"),
+    ("To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights", "cc0-1"),
+    ("Unauthorized copying of this file, via any medium is strictly prohibited", "proprietary"),
+    ("You may not reverse engineer, decompile or disassemble the product", "eula"),
+]
+
+
+def test_phrases_of_license_texts(spark):
+    assert len(license_rules.TEXTS) > 110 and len({r.pattern for r in license_rules.build()}) == len(license_rules.build())
+    for r, (text, label) in zip(licenses.scan(frame(spark, [t for t, _ in TEXTS])).orderBy("doc_id").collect(), TEXTS):
+        _, _, labels, score = brute_license(text)
+        assert label in r["license__labels"] and (r["license__labels"], r["license__score"]) == (labels, score), text
+
+
+def test_gated_rules_hold_an_anchor():
+    for r in license_rules.build():
+        for s in set(samples(_parser.parse(r.pattern), False)):
+            assert r.base or any(a in f" {s} " for a in licenses.ANCHORS), r
