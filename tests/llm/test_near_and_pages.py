@@ -142,29 +142,3 @@ def test_main_text_of_pages(spark):
     made = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id, r.text, r.n_chars) for r in made) == [(1, "x y", 3), (1, "x y", 3), (2, "", 0)]
     assert html_text.extract("<p>" * 20000 + "<article>" + "<div>" * 5000 + "deep") == "deep"
-
-
-def test_pipeline_against_brute_force(spark):
-    import corpus_pipeline
-    from farglass.llm import quality
-    from farglass.llm.queries import table
-
-    d = "/root/testdata/sf0.001"
-    docs = table(spark, d, "documents")
-    assert len(corpus_pipeline.STAGES) == 5
-    kept = corpus_pipeline.quality_rules(spark, docs, d)
-    rules = quality.learn(docs, table(spark, d, "labels"))
-    assert kept.count() == quality.judge(docs, rules).where("quality_kept").count() < docs.count()
-    rows = {r.doc_id: r for r in kept.collect()}
-    prints = {k: brute_fingerprint(r.text) for k, r in rows.items()}
-    comps = brute_components(prints, [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 4])
-    once = corpus_pipeline.near_dedup(spark, kept, d)
-    assert {r.doc_id for r in once.collect()} == set(comps.values())
-    clean = corpus_pipeline.decontaminate(spark, once, d)
-    assert clean.columns == docs.columns and 0 < clean.count() < once.count()
-    mixed = corpus_pipeline.mix_sources(spark, clean, d)
-    assert mixed.columns == docs.columns
-    out = corpus_pipeline.token_output(spark, mixed, d).collect()
-    assert len(out) == mixed.count()
-    out.sort(key=lambda r: r.start)
-    assert [r.start for r in out] == [sum(x.n_tokens for x in out[:k]) for k in range(len(out))] and [r.doc_id for r in out] == sorted(r.doc_id for r in out)
