@@ -174,7 +174,7 @@ g{turn} as (select *, coalesce(lag(starts) over (partition by id, pos order by i
 m{turn} as materialized (select id, pos, list(case when starts then a || '_' || b else a end order by i) as w from g{turn} where not inside group by id, pos)"""
 
 
-@query(SENTENCES + f""", m0 as (select id, pos, list_filter(regexp_split_to_array(lower(sentence), '[^\p{{L}}'']+'), lambda w: len(w) >= 2) as w from sentences), {_merge_sql(1)}, {_merge_sql(2)}
+@query(SENTENCES + f""", m0 as (select id, pos, list_filter(regexp_split_to_array(lower(sentence), '[^\\p{{L}}'']+'), lambda w: len(w) >= 2) as w from sentences), {_merge_sql(1)}, {_merge_sql(2)}
 select id, pos, w as words from m2""")
 def n2_merge_phrases(spark, d):
     """Phrases of up to three words (and of four, where two pairs meet)."""

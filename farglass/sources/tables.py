@@ -80,9 +80,10 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, columns: Sequence[st
     return rows.select(*columns) if columns else rows
 
 
-def read_speeches(spark: SparkSession, path: str, row_tag: str = "speech") -> DataFrame:
+def read_speeches(spark: SparkSession, path: str, row_tag: str = "speech", schema: StructType | str | None = None) -> DataFrame:
     """Speeches of an XML archive: a row for each element, attributes with a leading underscore."""
-    return spark.read.format("xml").option("rowTag", row_tag).load(path)
+    reader = spark.read.format("xml").option("rowTag", row_tag)
+    return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
 def write_table(rows: DataFrame, path: str, *, kind: str = "parquet", mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
