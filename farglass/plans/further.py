@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from farglass import cli
 from farglass.functions import dates
 from farglass.functions import text as T
-from farglass.operators import collocation, features, linking, search, series, shape, vectors
+from farglass.operators import collocation, features, search, series, shape, vectors
+from farglass.operators.discourse import Discourse
 from farglass.plans import standins as S
 from farglass.plans.money import MAGNITUDE, YEARLY, yearly
 from farglass.plans.registry import query
@@ -192,3 +194,31 @@ def ud3_custom_aggregate(spark, d):
 def ud4_pluggable_search(spark, d):
     ways = {"plain": lambda c: F.contains(c, F.lit("the")), "wordish": lambda c: c.rlike(search.wordish(["the"]))}
     return docs(spark, d).select("id", *(way(F.lower("text")).alias(name) for name, way in ways.items()))
+
+
+SPOKEN = f"""{DOCS}, low as (select id, year, lower(text) as text from docs), found as (select * from low where regexp_matches(text, '(?:\\s|^)the(?:,?\\s|\\.|$)|(?:\\s|^)und(?:,?\\s|\\.|$)')),
+parts as (select id, year, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1\n', 'g'), '\n+'), lambda s: trim(s)), lambda s: s <> '') as p from found),
+cut as (select id, year, unnest(p) as sentence from parts)"""
+
+
+@query(SPOKEN + """ select year, count(distinct id) as n_documents, count(*) as n_sentences from cut where regexp_matches(sentence, '(?:\\s|^)the(?:,?\\s|\\.|$)|(?:\\s|^)und(?:,?\\s|\\.|$)') group by year""")
+def x14_discourse_mentions(spark, d):
+    return Discourse(docs(spark, d), ["the", "und"]).mention_counts
+
+
+@query(SPOKEN + """, t as (select year, count(*) as total from docs group by year), c as (select year, count(*) as n from found group by year) select year, coalesce(n, 0) as n, total, coalesce(n, 0) / total as share from t left join c using (year)""")
+def x14_discourse_shares(spark, d):
+    return Discourse(docs(spark, d), ["the", "und"]).shares
+
+
+@query(f"""{C}, r as (select region, date_trunc('year', announced_on)::date as period, count(*) as n_rounds, round(sum(amount), 2) as raised from rounds join companies on org_id = companies.id group by all),
+f as (select region, date_trunc('year', founded_on)::date as period, count(*) as n_founded from companies where founded_on is not null group by all),
+cal as (select unnest(generate_series(date '1994-01-01', date '2002-01-01', interval 1 year))::date as period), g as (select distinct region from companies)
+select region, period, coalesce(n_founded, 0) as n_founded, coalesce(n_rounds, 0) as n_rounds, coalesce(raised, 0) as raised from g cross join cal left join f using (region, period) left join r using (region, period)""")
+def t8_command_line(spark, d):
+    """The company series by region, by way of the command line."""
+    folder = scratch_path(spark, "cli")
+    tables.write_table(S.companies(spark, d), f"{folder}/companies.parquet")
+    tables.write_table(S.rounds(spark, d), f"{folder}/rounds.parquet")
+    cli.main(["companies", "--companies", f"{folder}/companies.parquet", "--rounds", f"{folder}/rounds.parquet", "--out", f"{folder}/out", "--by", "region", "--first", "1994", "--last", "2002"], spark)
+    return spark.read.parquet(f"{folder}/out").select("region", "period", "n_founded", "n_rounds", F.round("raised", 2).alias("raised"))

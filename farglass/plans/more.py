@@ -270,7 +270,10 @@ def n1_tokens(spark, d):
     return docs(spark, d).select("id", collocation.tokens(F.col("text"), ["the", "and", "of"]).alias("tokens"))
 
 
-@query()
+@query(f"""{DOCS}, parts as (select id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1\n', 'g'), '\n+'), lambda s: trim(s)), lambda s: s <> '') as p from docs),
+cut as (select id, pos, list_filter(regexp_split_to_array(lower(sentence), '[^\\p{{L}}'']+'), lambda x: len(x) >= 1) as w from (select id, unnest(p) as sentence, generate_subscripts(p, 1) - 1 as pos from parts)),
+places as (select id, pos, w, unnest(range(0, len(w))) as k from cut where list_contains(w, 'the'))
+select id, pos::int as pos, k::int as "at", array_to_string(w[greatest(k - 2, 0) + 1 : k + 3], ' ') as phrase from places where w[k + 1] = 'the'""")
 def n13_term_patterns(spark, d):
     cut = search.sentences(docs(spark, d), ["id", "year"], "text").withColumn("words", collocation.tokens(F.col("sentence"), least=1))
     return collocation.term_patterns(cut, ["id", "pos"], "words", "the")
@@ -292,13 +295,40 @@ def d2_grants(spark, d):
     return grants.summary(first.unionByName(second)).withColumn("total", F.round("total", 2))
 
 
-@query()
-def l1_l2_company_lookup(spark, d):
+def _clean_sql(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _grams_sql(x: str) -> str:
+    return f"list_distinct(list_transform(range(1, greatest(len({x}) - 2, 1) + 1), lambda i: substr({x}, i, 3)))"
+
+
+_ALIKE = "len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))"
+
+
+@query(f"""with a as (select *, {_grams_sql('clean')} as g from (select c_custkey as id, 'c' || c_custkey || '.com' as site, {_clean_sql('c_name')} as clean, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') as key, c_nationkey as country from customer)),
+b as (select *, {_grams_sql('clean')} as g from (select s_suppkey as id, 'c' || s_suppkey * 3 || '.com' as site, {_clean_sql('s_name')} as clean, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') as key, s_nationkey as country from supplier)),
+one as (select a.id as left_id, min(b.id) as right_id, 'site' as how from a join b using (site) group by a.id),
+two as (select a.id as left_id, min(b.id) as right_id, 'name' as how from a join b using (key, country) where a.id not in (select left_id from one) group by a.id),
+rest as (select * from a where id not in (select left_id from one union all select left_id from two))
+select * from one union all select * from two union all select a.id, b.id, 'similar' from rest a join b using (country) where {_ALIKE} >= 0.5""")
+def l1_company_lookup(spark, d):
     a = S.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.concat(F.lit("https://www.c"), F.col("c_custkey").cast("string"), F.lit(".com/")).alias("site"), F.col("c_nationkey").alias("country"))
     b = S.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("http://c"), (F.col("s_suppkey") * 3).cast("string"), F.lit(".com")).alias("site"), F.col("s_nationkey").alias("country"))
     return linking.company_lookup(a, b, least=0.5)
 
 
+@query(f"""with a as (select id, country, {_grams_sql('clean')} as g from (select c_custkey as id, {_clean_sql('c_name')} as clean, c_nationkey as country from customer union all select c_custkey, {_clean_sql("'Supplier#' || lpad(c_custkey::varchar, 9, '0')")}, c_nationkey from customer where c_custkey % 2 = 0)),
+b as (select s_suppkey as id, s_nationkey as country, {_grams_sql(_clean_sql('s_name'))} as g from supplier)
+select id, list_sort(list(distinct other)) as matches from (select a.id, b.id as other from a join b using (country) where {_ALIKE} >= 0.6) group by id""")
+def l2_organisation_lookup(spark, d):
+    key = F.col("c_custkey")
+    legal = F.when(key % 2 == 0, F.concat(F.lit("Supplier#"), F.lpad(key.cast("string"), 9, "0")))
+    organisations = S.read(spark, d, "customer").select(key.alias("id"), F.col("c_name").alias("name"), legal.alias("legal_name"), F.col("c_nationkey").alias("country"))
+    research = S.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("country"))
+    return linking.organisation_lookup(organisations, research, 0.6)
+
+
 @query("select l_orderkey as k, count(*) as n from lineitem group by l_orderkey, l_linenumber having count(*) > 1")
 def q1_repeated_keys(spark, d):
     return S.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), "l_linenumber").agg(F.count("*").alias("n")).where("n > 1").select("k", "n")
