@@ -40,6 +40,8 @@ WIDTH = 3
 SEED = 42
 #: A list with more pairs to compare is split by a further position's bytes.
 CROWD = 1024
+#: Fingerprints to a task.
+SPREAD = 10_000
 #: Shingles of a text whose hashes are in hand at a time.
 CHUNK = 1 << 15
 PREFIX = "near_"
@@ -140,10 +142,11 @@ def links(nodes: DataFrame, most: int = 4, width: int = WIDTH, crowd: int = CROW
     def close(a: str, b: str) -> Column:
         return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= most
 
-    listed = postings(nodes, width)
+    # Fingerprints are short rows that become many: a few files of them would leave cores idle.
+    listed = postings(nodes.repartition(nodes.count() // SPREAD + 1), width)
     hubs = materialise(listed.groupBy("list").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("list", "hub"), "hubs")
     # Members of lists of two and more. Most lists have one member and end here.
-    met = materialise(listed.join(hubs, "list").select("list", "fp", "hub"), "postings")
+    met = materialise(listed.join(checked_broadcast(hubs), "list").select("list", "fp", "hub"), "postings")
     stars = materialise(met.where(close("fp", "hub") & (F.col("fp") != F.col("hub"))).select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), "stars")
     comps = materialise(components.connected_components(stars), "star_components")
     placed = met.select("list", "fp").join(checked_broadcast(comps.withColumnsRenamed({"node": "fp"})), "fp", "left")
