@@ -12,6 +12,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farglass.runtime import checked_broadcast
+
 MONTHS = {"month": 1, "quarter": 3, "year": 12}
 
 
@@ -148,7 +150,7 @@ def convert_currency(rows: DataFrame, rates: DataFrame, *, amount: str, currency
     """
     filled = daily_rates(rates).withColumnsRenamed({"currency": "rate_currency", "day": "rate_day"})
     ends = filled.groupBy("rate_currency").agg(F.min("rate_day").alias("rate_first"), F.max("rate_day").alias("rate_last")).withColumnRenamed("rate_currency", "end_currency")
-    near = rows.join(F.broadcast(ends), F.col(currency) == F.col("end_currency"), "left").withColumn("near_day", F.greatest(F.least(F.col(day).cast("date"), "rate_last"), "rate_first"))
+    near = rows.join(checked_broadcast(ends), F.col(currency) == F.col("end_currency"), "left").withColumn("near_day", F.greatest(F.least(F.col(day).cast("date"), "rate_last"), "rate_first"))
     joined = near.join(filled, (F.col("end_currency") == F.col("rate_currency")) & (F.col("near_day") == F.col("rate_day")), "left")
     value = F.when(F.col(currency) == native, F.col(amount)).when(F.col(day).cast("date") >= F.lit(earliest), F.try_divide(F.col(amount), F.col("rate")))
     return joined.withColumn(out, value).select(*rows.columns, out)

@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,24 +50,38 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-_MADE: list[str] = []
+#: Folders made by the job at hand; outside of any ``job`` they belong to the process.
+_MADE: ContextVar[list[str]] = ContextVar("farglass_made", default=[])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    _MADE.append(f"{scratch_root(spark)}/farglass/{uuid.uuid4().hex}")
-    return f"{_MADE[-1]}/{name}"
+    made = _MADE.get()
+    made.append(f"{scratch_root(spark)}/farglass/{uuid.uuid4().hex}")
+    return f"{made[-1]}/{name}"
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Release at the end what is put into the shared folder within, and nothing else."""
+    token = _MADE.set([])
+    try:
+        yield
+    finally:
+        release(spark)
+        _MADE.reset(token)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete what this process has put into the shared folder, once results are written elsewhere.
+    """Delete what this job (or, outside of one, this process) has put into the shared folder, once
+    results are written elsewhere.
 
     DataFrames that read from it are of no use afterwards. Returns the number of folders.
     """
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf, made = spark.sparkContext._jsc.hadoopConfiguration(), _MADE.get()
     n = 0
-    while _MADE:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    while made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 

@@ -167,6 +167,18 @@ def test_organisation_lookup(spark):
     assert [(r.id, r.matches) for r in linking.organisation_lookup(a, b).collect()] == [(1, [10, 11])]
 
 
+def test_a_job_releases_its_own_files_only(spark):
+    from farglass.runtime import job, materialise
+
+    outer = materialise(spark.range(3), "outer")
+    with job(spark):
+        inner = materialise(spark.range(4), "inner")
+        assert inner.count() == 4
+    assert outer.count() == 3
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        inner.count()
+
+
 def test_numbered_and_split_join(spark):
     rows = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("k")).repartition(5)
     made = sorted((r.rank, r.k, r.id, r.total) for r in numbered(rows, F.col("k").desc(), "id").collect())
