@@ -85,6 +85,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(f"{p}items").cast("long").alias("n_items"),
         F.sha2(F.array_join(f"{p}items", ","), 256).alias("items_sha256"),
         F.col(f"{p}contaminated").alias("contaminated"),
+        F.col(f"{p}n_near").alias("n_near"),
     )
 
 

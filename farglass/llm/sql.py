@@ -47,10 +47,20 @@ grams as (
   from (select doc_id, w, k, unnest(range(0, len(w) - k + 1)) as s from docs, (select distinct k from wins) where len(w) >= k)),
 found as (select doc_id, item_id, s, grams.k from grams join wins using (k, win)),
 words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + k)) as p from found) group by doc_id),
-named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from found) group by doc_id)
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from found) group by doc_id),
+counts as materialized (select term, count(*) as n from (select unnest(w) as term from docs) group by term),
+parts as (select win, ww, unnest(ww) as term, generate_subscripts(ww, 1) - 1 as off from (select distinct win, string_split(win, ' ') as ww from wins where k = 13)),
+ranked as (select parts.*, coalesce(n, 0) as n, row_number() over (partition by win order by coalesce(n, 0), off) as r from parts left join counts using (term)),
+probe as materialized (select a.win, a.ww, a.term as t1, a.off as o1, b.term as t2, b.off as o2 from ranked a join ranked b using (win) where a.r = 1 and b.r = 2 and a.n > 0),
+firsts as materialized (select doc_id, term, p from (select doc_id, unnest(w) as term, generate_subscripts(w, 1) - 1 as p from docs) where term in (select t1 from probe)),
+near as (
+  select doc_id, count(*) as n_near from firsts join probe on term = t1 and p >= o1 join docs using (doc_id)
+  where list_contains(w[greatest(p - o1 + o2 - 3, 0) + 1 : p - o1 + o2 + 4], t2) and w[p - o1 + 1 : p - o1 + 13] <> ww
+    and len(list_intersect(list_distinct(ww), w[greatest(p - o1 - 3, 0) + 1 : least(greatest(p - o1 - 3, 0) + 19, p + 16)])) >= 0.8 * len(list_distinct(ww))
+  group by doc_id)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from docs left join words using (doc_id) left join named using (doc_id)
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated, coalesce(n_near, 0)::bigint as n_near
+from docs left join words using (doc_id) left join named using (doc_id) left join near using (doc_id)
 """
 
 ORACLES = {"op2_mix_sources": MIX, "op5_warc": WARC, "op7_decontaminate": DECONTAMINATE}
