@@ -79,7 +79,7 @@ def term_counts(sentences: DataFrame, words: str, by: Sequence[str], longest: in
         F.transform("all", lambda x: F.struct(x.alias("ngram"), F.lit(1).alias("one"), F.lit(0).alias("sentence"))),
         F.transform(F.array_distinct("all"), lambda x: F.struct(x.alias("ngram"), F.lit(0).alias("one"), F.lit(1).alias("sentence"))),
     )
-    sums = made.select(*by, F.inline(counted)).groupBy(*by, "ngram").agg(F.sum("one").alias("total"), F.sum("sentence").alias("sentences"))
+    sums = made.select(*by, F.inline_outer(counted)).where(F.col("ngram").isNotNull()).groupBy(*by, "ngram").agg(F.sum("one").alias("total"), F.sum("sentence").alias("sentences"))
     sums = materialise(sums, "ngram_sums")
     known = sums.groupBy("ngram").agg(F.sum("sentences").alias("n")).where(F.col("n") >= min_sentences).select("ngram")
     return materialise(sums.join(known, "ngram", "left_semi").select(*by, "ngram", "total"), "ngram_totals")
@@ -98,8 +98,8 @@ def term_pairs(sentences: DataFrame, words: str, counts: DataFrame, by: Sequence
         return F.struct(F.lit(term).alias("term"), F.size(F.filter("all", lambda x: x == F.lit(term))).alias("n"))
 
     hits = F.filter(F.array(*map(times, terms)), lambda h: h["n"] > 0)
-    opened = sentences.select(*by, grams.alias("all")).select(*by, "all", F.explode(hits).alias("hit"))
-    pairs = opened.select(*by, F.col("hit.term").alias("term"), F.col("hit.n").alias("n"), F.explode("all").alias("ngram")).where("term <> ngram")
+    opened = sentences.select(*by, grams.alias("all")).select(*by, "all", F.explode_outer(hits).alias("hit")).where(F.col("hit").isNotNull())
+    pairs = opened.select(*by, F.col("hit.term").alias("term"), F.col("hit.n").alias("n"), F.explode_outer("all").alias("ngram")).where("term <> ngram")
     both = pairs.groupBy(*by, "term", "ngram").agg(F.sum("n").alias("both"))
     known = counts.select("ngram").distinct()
     return both.join(known, "ngram", "left_semi").where(F.col("term").isin(list(terms))).join(known.withColumnRenamed("ngram", "term"), "term", "left_semi").select(*by, "term", "ngram", "both")
@@ -139,7 +139,7 @@ def phrase_scores(sentences: DataFrame, words: str, min_count: int = 5) -> DataF
     counts are sums of that, and words too rare for any phrase are left out before they are joined.
     """
     following = F.arrays_zip(F.col(words).alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"))
-    pairs = materialise(sentences.select(F.inline(following)).groupBy("a", "b").agg(F.count("*").alias("n")), "word_pairs")
+    pairs = materialise(sentences.select(F.inline_outer(following)).where(F.col("a").isNotNull()).groupBy("a", "b").agg(F.count("*").alias("n")), "word_pairs")
     one = pairs.groupBy(F.col("a").alias("x")).agg(F.sum("n").alias("n"))
     total = one.agg(F.sum("n").alias("total"))
     one = materialise(one.where(F.col("n") >= min_count), "word_counts")

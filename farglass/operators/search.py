@@ -43,10 +43,11 @@ def wordish(terms: Sequence[str], literal: bool = True) -> str:
 def sentences(texts: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """``keys, pos, sentence``: each text cut behind . ! ? and at line ends; blank ones go.
 
-    The text's keys stay with every sentence.
+    The text's keys stay with every sentence. The outer explode keeps Spark from inferring a filter
+    that would split every text a second time.
     """
     parts = F.filter(F.transform(F.split(F.col(column), r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
-    return texts.select(*keys, F.posexplode(parts).alias("pos", "sentence"))
+    return texts.select(*keys, F.posexplode_outer(parts).alias("pos", "sentence")).where(F.col("sentence").isNotNull())
 
 
 def mentions(found: DataFrame, terms: Sequence[str], column: str = "sentence") -> DataFrame:
