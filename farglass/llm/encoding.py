@@ -14,7 +14,7 @@ import re
 from array import array
 
 #: Chunks remembered by a Python worker; a bound on memory, not on the input.
-MEMO = 400_000
+MEMO = 800_000
 
 
 def load(path: str):
@@ -48,6 +48,8 @@ MARKS = ",.;:!?*$%&#"
 #: Words of these letters are one piece, which the library's model encodes without its other steps.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 LATIN_1 = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: A word of such letters with marks behind it, and a newline before it or not.
+PLAIN = re.compile(f"(\\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([{re.escape(MARKS)}]*)").fullmatch
 
 
 def byte_characters() -> dict[int, str]:
@@ -77,6 +79,7 @@ class IdEncoder:
         self.lib, self.typecode = load(path), typecode
         self.model = self.lib.model
         self.newline = self._library("\n")
+        self.packed = _Memo(lambda i: self._pack([i]), 1 << 17)
         self.first = _Memo(self._bare, memo // 8)
         self.parts = _Memo(self._part, memo)
         self.stems = _Memo(self._stem, memo // 2)
@@ -89,7 +92,10 @@ class IdEncoder:
         return self._pack(self.lib.encode(text, add_special_tokens=False).ids)
 
     def _stem(self, stem: str) -> bytes:
-        return self._pack([t.id for t in self.model.tokenize(as_bytes(stem))])
+        # The byte characters of ASCII letters are the letters themselves.
+        spelt = stem.replace(" ", BYTE_CHARACTERS[32]) if stem.isascii() else as_bytes(stem)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(spelt)])
 
     def _word(self, text: str) -> bytes:
         stem = text.rstrip(MARKS)
@@ -102,6 +108,11 @@ class IdEncoder:
 
     def _part(self, part: str) -> bytes | None:
         """Ids of a part and the white space before it: a newline of its own, else a space."""
+        plain = PLAIN(part)
+        if plain is not None:
+            line, stem, tail = plain.groups()
+            made = self.newline + self.stems[stem] if line else self.stems[" " + stem]
+            return made + self.tails[tail] if tail else made
         word = part.removeprefix("\n")
         if word.split() != [word]:
             return None
@@ -125,7 +136,7 @@ class TokenCounter:
     go to the library whole.
     """
 
-    def __init__(self, path: str, memo: int = MEMO // 5):
+    def __init__(self, path: str, memo: int = MEMO // 10):
         self.lib = load(path)
         self.model = self.lib.model
         self.counts = _Memo(self._word, memo)
