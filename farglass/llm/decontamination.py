@@ -119,14 +119,16 @@ def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, slop: in
     terms = materialise(terms.groupBy("term").agg(F.max("rarest").alias("rarest")), "probe_terms")
     index = build_index(docs, terms, window - 1 + slop, id_col=id_col, text_col=text_col)
     met = materialise(intersect(index, probe, slop), "met")
-    # The words around: in a posting's context the window begins at here - at.
-    placed = met.join(checked_broadcast(probe.select("window", "win", "n", "term", "at"), limit=BLOCK), "window").alias("m")
-    around = index.where("context is not null").select("term", "own_id", "own_hash", "pos", "here", "context").distinct().alias("c")
-    same = F.col("m.own_id").eqNullSafe(F.col("c.own_id")) & (F.col("m.own_hash") == F.col("c.own_hash")) & (F.col("m.term") == F.col("c.term")) & (F.col("m.pos") == F.col("c.pos"))
+    # The words around: a place in a text has one posting, in whose context the window begins at here - at.
+    found_at = checked_broadcast(met, met.count()).alias("m")
+    around = index.where("context is not null").select("own_id", "own_hash", "pos", "here", "context").alias("c")
+    same = F.col("m.own_id").eqNullSafe(F.col("c.own_id")) & (F.col("m.own_hash") == F.col("c.own_hash")) & (F.col("m.pos") == F.col("c.pos"))
+    placed = around.join(found_at, same).select("window", "c.own_id", "c.own_hash", "c.pos", "here", "context")
+    placed = placed.join(checked_broadcast(probe.select("window", "win", "n", "at"), limit=BLOCK), "window")
     exact = F.expr("slice(context, here - at + 1, n) = win")
     near = F.expr(f"size(array_intersect(win, slice(context, greatest(here - at - {slop}, 0) + 1, n + {2 * slop}))) >= {NEAR_SHARE} * size(array_distinct(win)) and n >= {window}")
-    judged = placed.join(around, same).select("window", "m.own_id", "m.own_hash", (F.col("m.pos") - F.col("at")).alias("first"), "n", exact.alias("exact"), (near if slop else F.lit(False)).alias("near"))
-    found = judged.where("exact or near").drop("near")
+    judged = placed.select("window", "own_id", "own_hash", (F.col("pos") - F.col("at")).alias("first"), "n", exact.alias("exact"), (near if slop else F.lit(False)).alias("near"))
+    found = judged.where("exact or near").drop("near").distinct()  # repeated rows have postings each
     return found.join(checked_broadcast(windows.select("window", "item_ids"), limit=BLOCK), "window").drop("window")
 
 
