@@ -109,23 +109,32 @@ def checked_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
 HOT_SHARE = 10_000
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, *keys: str, share: int | None = None) -> DataFrame:
     """Inner join of ``left`` with a table that has one row for each key, whatever a key's share is.
 
     Keys with at least one ``share``-th of the rows of ``left`` are at most ``share`` keys, so their
     rows of ``right`` are broadcast, and no task gathers a hot key; the rest is joined as usual. Rows
     with a null key are dropped. ``left`` is read three times and should be materialised.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("_rows"))
-    hot = materialise(counts.where(F.col("_rows") * share >= left.count()).where(F.col(key).isNotNull()).select(key), "hot_keys")
-    few = left.join(F.broadcast(right.join(F.broadcast(hot), key)), key)
-    return few.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
+    on, share = list(keys), share or HOT_SHARE
+    counts = left.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_rows"))
+    hot = materialise(counts.where(F.col("_rows") * share >= left.count()).select(*on), "hot_keys")
+    few = left.join(F.broadcast(right.join(F.broadcast(hot), on)), on)
+    return few.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on))
+
+
+def lookup(left: DataFrame, right: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
+    """``split_join`` for a table of short rows, which is sent whole where its count (``rows``, if known)
+    shows it to be small."""
+    rows = right.count() if rows is None else rows
+    return left.join(F.broadcast(right), list(keys)) if rows <= BROADCAST_ROWS else split_join(left, right, *keys)
 
 
 def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     """``df`` with ``rank`` (from 0, in the given order) and ``total``: a range sort whose partitions'
-    bases are prefix sums of their counts, so that no task sees all rows."""
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    bases are prefix sums of their counts, so that no task sees all rows. Without an order the ranks
+    are only dense, and nothing is sorted."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     # The partition number is in the upper bits of this id, the row's place in it in the lower 33.
     ordered = materialise(ordered.withColumn("_place", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_place", 33)
