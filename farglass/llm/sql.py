@@ -63,4 +63,32 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from docs left join words using (doc_id) left join named using (doc_id) left join near using (doc_id)
 """
 
-ORACLES = {"op2_mix_sources": MIX, "op5_warc": WARC, "op7_decontaminate": DECONTAMINATE}
+_CRC32 = """xor(4294967295::bigint, list_reduce(range(1, len(conv_id::varchar) + 1), lambda crc, i:
+    list_reduce(range(0, 8), lambda c, b: case when c % 2 = 1 then xor(c // 2, 3988292384::bigint) else c // 2 end, xor(crc, ascii(substr(conv_id::varchar, i::int, 1))::bigint)), 4294967295::bigint))"""
+
+TRIE = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, strlen(coalesce(text, ''))::bigint as b, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as t
+  from conversations where conv_id is not null),
+own as (
+  select conv_id, list(t order by turn nulls first, role, t) as ts, list(b order by turn nulls first, role, t) as bs, {_CRC32} % 9 as h
+  from turns group by conv_id),
+spliced as (
+  select o.conv_id, list_concat(coalesce(s.ts[1 : o.h], []), o.ts[o.h + 1 :]) as ts, list_concat(coalesce(s.bs[1 : o.h], []), o.bs[o.h + 1 :]) as bs
+  from own o left join own s on s.conv_id = o.conv_id - o.conv_id % 5),
+members as (
+  select conv_id, d, ts[1 : d] as p, d = len(ts) as ends, coalesce(bs[d], 0) as b
+  from (select *, unnest(range(0, len(ts) + 1)) as d from spliced)),
+nodes as (
+  select p, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(b) as b, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '') as ends
+  from members group by p),
+family as (select p[1 : len(p) - 1] as p, count(*) as n_children from nodes where len(p) > 0 group by 1),
+counted as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join family using (p)),
+sums as (
+  select p[1 : k] as p, sum((n_children = 0)::int)::bigint as n_leaves, sum((n_convs - 1) * b)::bigint as saved_tokens
+  from (select *, unnest(range(0, depth + 1)) as k from counted) group by 1)
+select c.conv_id, c.depth, up.conv_id as parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved_tokens, sha256(c.ends) as ends_sha256
+from counted c join sums s using (p) left join nodes up on c.depth > 0 and up.p = c.p[1 : c.depth - 1]
+"""
+
+ORACLES = {"op2_mix_sources": MIX, "op5_warc": WARC, "op7_decontaminate": DECONTAMINATE, "op11_prefix_trie": TRIE}
