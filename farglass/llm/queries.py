@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farglass.llm import decontamination, hilbert, html_text, licenses, mixing, prefix_trie, quality, simhash, token_counts, token_files, warc
+from farglass.llm import decontamination, hilbert, html_text, licenses, mixing, prefix_trie, quality, ranked_search, simhash, token_counts, token_files, warc
 from farglass.llm.columns import free_prefix
 from farglass.llm.sql import ORACLES
 from farglass.llm.words import license_word_count
@@ -110,6 +110,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.spliced_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -117,7 +121,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_token_files, op4_hilbert_shards, op5_warc, op6_token_counts, op7_decontaminate, op8_html_text, op9_simhash, op10_quality_rules, op11_prefix_trie, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_token_files, op4_hilbert_shards, op5_warc, op6_token_counts, op7_decontaminate, op8_html_text, op9_simhash, op10_quality_rules, op11_prefix_trie, op13_ranked_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -91,4 +91,20 @@ select c.conv_id, c.depth, up.conv_id as parent_conv_id, c.n_convs, c.n_children
 from counted c join sums s using (p) left join nodes up on c.depth > 0 and up.p = c.p[1 : c.depth - 1]
 """
 
-ORACLES = {"op2_mix_sources": MIX, "op5_warc": WARC, "op7_decontaminate": DECONTAMINATE, "op11_prefix_trie": TRIE}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH = rf"""
+with docs as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') as w from documents),
+sums as (select count(*) filter (len(w) > 0)::bigint as n_docs, sum(len(w))::bigint as n_terms from docs),
+asked as (select i, item_id, unnest(list_distinct(w)) as term from (select row_number() over () as i, item_id, regexp_extract_all({_LOWER}, '{_TERM}') as w from benchmark)),
+postings as (
+  select r, term, count(*)::bigint as tf from (select r, unnest(w) as term from docs) where term in (select term from asked) group by r, term),
+weights as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from postings, sums group by term, n_docs),
+scores as (
+  select i, item_id, r, doc_id, sum(weights.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(docs.w) * n_docs) // n_terms))))::bigint as score
+  from asked join postings using (term) join weights using (term) join docs using (r), sums group by i, item_id, r, doc_id),
+ranked as (select *, row_number() over (partition by i order by score desc, doc_id nulls last)::int as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+ORACLES = {"op2_mix_sources": MIX, "op5_warc": WARC, "op7_decontaminate": DECONTAMINATE, "op11_prefix_trie": TRIE, "op13_ranked_search": SEARCH}
