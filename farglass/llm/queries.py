@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farglass.llm import decontamination, hilbert, html_text, licenses, mixing, prefix_trie, quality, ranked_search, simhash, token_counts, token_files, warc
+from farglass.llm import decontamination, hilbert, html_text, licenses, mixing, prefix_trie, quality, ranked_search, secret_scan, simhash, token_counts, token_files, warc
 from farglass.llm.columns import free_prefix
 from farglass.llm.sql import ORACLES
 from farglass.llm.words import license_word_count
@@ -110,6 +110,20 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.spliced_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    spans = F.col(free_prefix(docs.columns, secret_scan.PREFIX) + "spans")
+    base = F.filter(spans, lambda s: s["kind_no"] < len(secret_scan.BASE))
+    return secret_scan.scan(docs, "doc_id").select(
+        "doc_id",
+        *(secret_scan.count_of(spans, kind).alias(f"n_{kind}") for kind in secret_scan.BASE),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(spans).alias("spans"),
+        F.size(F.filter(spans, lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter(spans, lambda s: s["example"])).cast("long").alias("n_examples"),
+    )
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
@@ -121,7 +135,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_token_files, op4_hilbert_shards, op5_warc, op6_token_counts, op7_decontaminate, op8_html_text, op9_simhash, op10_quality_rules, op11_prefix_trie, op13_ranked_search, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_token_files, op4_hilbert_shards, op5_warc, op6_token_counts, op7_decontaminate, op8_html_text, op9_simhash, op10_quality_rules, op11_prefix_trie, op12_secret_scan, op13_ranked_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

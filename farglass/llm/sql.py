@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from farglass.llm.mixing import SEED
+from farglass.llm.secret_scan import BASE, EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, KINDS, VARIETY
 
 _SOLID = r"[^\x20\x09-\x0D]+"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -107,4 +108,43 @@ ranked as (select *, row_number() over (partition by i order by score desc, doc_
 select item_id, rank, doc_id, score from ranked where rank <= 10
 """
 
-ORACLES = {"op2_mix_sources": MIX, "op5_warc": WARC, "op7_decontaminate": DECONTAMINATE, "op11_prefix_trie": TRIE, "op13_ranked_search": SEARCH}
+
+
+def _matches(no: int, kind: str, pattern: str, group: int) -> str:
+    """Matches of one kind; a match's start is the length of what stands between and in the matches before."""
+    q = pattern.replace("'", "''")
+    return f"""select r, {no} as k, '{kind}' as kind, regexp_extract(m, '{q}', {group}) as value, len(m) as n,
+      sum(len(gap) + len(m)) over (partition by r order by i)::bigint - len(m) as s
+    from (select r, unnest(regexp_extract_all(text, '{q}')) as m, unnest(string_split_regex(text, '{q}')) as gap, generate_subscripts(string_split_regex(text, '{q}'), 1) as i from docs) where m is not null"""
+
+
+def _added(no: int) -> str:
+    """Spans of an added kind that meet none found before."""
+    test = "and regexp_matches(value, '[a-z]') and regexp_matches(value, '[A-Z]') and regexp_matches(value, '[0-9]')" if list(KINDS)[no] == "mixed" else ""
+    return f"k{no} as (select * from k{no - 1} union all select * from good g where k = {no} {test} and not exists (select 1 from k{no - 1} o where o.r = g.r and o.s < g.s + g.n and g.s < o.s + o.n))"
+
+
+_LEAST = "case kind " + " ".join(f"when '{kind}' then {least}" for kind, (_, _, least) in KINDS.items()) + " end"
+_VARIED = "case kind " + " ".join(f"when '{kind}' then {n}" for kind, n in VARIETY.items()) + " end"
+
+SECRETS = f"""
+with docs as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text from documents),
+hits as ({" union all ".join(_matches(no, kind, pattern, group) for no, (kind, (pattern, group, _)) in enumerate(KINDS.items()))}),
+good as materialized (select * from hits where len(value) >= {_LEAST}),
+k{len(BASE) - 1} as (select * from good where k < {len(BASE)}),
+{", ".join(_added(no) for no in range(len(BASE), len(KINDS)))},
+found as (select k{len(KINDS) - 1}.*, doc_id, source, len(list_distinct(string_split(value, ''))) >= {_VARIED} as varied from k{len(KINDS) - 1} join docs using (r)),
+owners as (
+  select value, count(distinct coalesce('=' || source, '')) >= {EXAMPLE_OWNERS} or count(distinct coalesce('=' || doc_id, '')) >= {EXAMPLE_REPOSITORIES} as example
+  from found group by value),
+spans as (select *, varied and not example as live, kind || ':' || s || ':' || (s + n) as name from found join owners using (value) where k < {len(BASE)} or (varied and not example)),
+named as (
+  select r, {", ".join(f"count(*) filter (kind = '{kind}') as n_{kind}" for kind in BASE)}, string_agg(name, ',' order by s, k) filter (k < {len(BASE)}) as base,
+    string_agg(name, ',' order by s, k) as spans, count(*) filter (live) as n_live, count(*) filter (example) as n_examples
+  from spans group by r)
+select doc_id, {", ".join(f"coalesce(n_{kind}, 0)::bigint as n_{kind}" for kind in BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_live, 0)::bigint as n_live, coalesce(n_examples, 0)::bigint as n_examples
+from docs left join named using (r)
+"""
+
+ORACLES = {"op2_mix_sources": MIX, "op5_warc": WARC, "op7_decontaminate": DECONTAMINATE, "op11_prefix_trie": TRIE, "op12_secret_scan": SECRETS, "op13_ranked_search": SEARCH}
