@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farglass.llm import components
 from farglass.llm.columns import all_of, free_prefix, own
+from farglass.operators import components
 from farglass.runtime import checked_broadcast, materialise, split_join
 
 BYTES = 8

@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import Row
 
-from farglass.llm import components, html_text, simhash
+from farglass.llm import html_text, simhash
+from farglass.operators import components
 
 DOCS = "doc_id long, text string, lang string, source string, fp string"
 
