@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from farglass.functions import text as T
-from farglass.operators import collocation, search
+from farglass.operators import collocation, patterns, search
 from farglass.plans import standins as S
 from farglass.plans.registry import query
 
@@ -122,7 +122,7 @@ ns as (select year, count(*) as n from sentences group by year), tot as (select
 pm as (select co.year, co.term, co.ngram, co."both", log2((co."both" / n) / ((t1.total / n) * (pow(t2.total, 0.75) / pow(n, 0.75)))) as pmi from co join ns using (year) join tot t1 on t1.year = co.year and t1.ngram = co.term join tot t2 on t2.year = co.year and t2.ngram = co.ngram)"""
 
 
-TERMS = ("the", "und", "que")
+TERMS = ("thonin", "heron", "ingly", "is the")
 
 
 def _sentences(spark, d):
@@ -191,3 +191,44 @@ def n16_word_series(spark, d):
     words = docs(spark, d).select("year", F.explode(collocation.tokens(F.col("text"), STOP)).alias("word"))
     frequent = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 10").select("word")
     return words.join(frequent, "word", "left_semi").groupBy("year", "word").agg(F.count("*").alias("n"))
+
+
+def _class_sql(w: str) -> str:
+    listed = " ".join(f"when {w} in {words!r} then '{c}'".replace('"n\'t"', "'n''t'") for c, words in patterns.CLOSED.items())
+    endings = " ".join(f"when regexp_matches({w}, '{ending}') then '{c}'" for c, ending in patterns.ENDINGS)
+    return f"case when {w} = chr(1) then 'T' {listed} {endings} else 'N' end"
+
+
+#: Greedy filter of spans: the longest first, of equal ones the first; none that meets one before it.
+_LONGEST = """list_reduce(list_sort(list_transform(spans, lambda s: [s.s - s.e, s.s, s.e])), lambda acc, x: case when len(list_filter(acc, lambda o: o[2] < x[3] and x[2] < o[3])) > 0 then acc else list_append(acc, x) end, [[0]][:0])"""
+
+WORDS = SENTENCES + """, lines as (select id, pos, list_filter(regexp_split_to_array(lower(sentence), '[^\\p{L}'']+'), lambda w: len(w) >= 1) as w from sentences)"""
+TERMS = ("thonin", "heron", "ingly", "is the")
+
+
+@query(WORDS + f""", terms(term) as (values {", ".join(f"('{t}')" for t in TERMS)}),
+made as (select id, pos, term, string_split(array_to_string(w, ' '), ' ') as w0, list_filter(string_split(replace(replace(array_to_string(list_transform(w, lambda x: chr(2) || x || chr(3)), ''), array_to_string(list_transform(string_split(term, ' '), lambda x: chr(2) || x || chr(3)), ''), chr(2) || chr(1) || chr(3)), chr(2), ''), chr(3)), lambda x: x <> '') as w
+  from lines, terms where list_has_all(w, string_split(term, ' '))),
+lettered as materialized (select id, pos, term, w, array_to_string(list_transform(w, lambda x: {_class_sql("x")}), '') as letters from made where list_contains(w, chr(1))),
+places as (select id, pos, term, w, letters, s, unnest(range(s + 1, len(w) + 1)) as e from (select *, unnest(range(0, len(w))) as s from lettered)),
+pats(pattern, rule) as (values {", ".join(f"('{n}', '{p.replace(' ', '')}')" for n, p in patterns.PHRASES.items())}),
+hits as (select id, pos, term, pattern, any_value(w) as w, list({{'s': s, 'e': e}}) as spans from places join pats on regexp_full_match(letters[s + 1 : e], rule) group by all),
+kept as (select id, pos, term, pattern, w, unnest({_LONGEST}) as k from hits)
+select id, pos, term, pattern, k[2] as start, replace(array_to_string(w[k[2] + 1 : k[3]], ' '), chr(1), term) as phrase from kept""")
+def n13_term_phrases(spark, d):
+    """Nine patterns around each of several terms; the terms are a table."""
+    cut = search.sentences(docs(spark, d), ["id"], "text").withColumn("words", collocation.tokens(F.col("sentence"), least=1))
+    terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
+    found = patterns.term_phrases(cut, ["id", "pos"], "words", terms, "term")
+    return found.select("id", F.col("pos").cast("long").alias("pos"), "term", "pattern", F.col("start").cast("long").alias("start"), "phrase")
+
+
+@query(WORDS + f""", joined as (select id, pos, array_to_string(list_transform(w, lambda x: {_class_sql("x")} || x || chr(3)), '') as line from lines where len(w) > 0),
+chunks as (select id, pos, unnest(regexp_extract_all(line, '(?:D[^\\x03]*\\x03)?(?:A[^\\x03]*\\x03)*(?:N[^\\x03]*\\x03)+')) as c from joined),
+bare as (select id, pos, array_to_string(list_transform(string_split(rtrim(c, chr(3)), chr(3)), lambda x: x[2:]), ' ') as phrase from chunks)
+select id, pos, phrase, count(*) as n from bare where list_contains(string_split(phrase, ' '), 'thonin') group by all""")
+def n12_noun_chunks(spark, d):
+    """Noun chunks that hold a term."""
+    cut = search.sentences(docs(spark, d), ["id"], "text").withColumn("words", collocation.tokens(F.col("sentence"), least=1))
+    chunks = patterns.chunks_with(patterns.noun_chunks(cut, ["id", "pos"], "words"), spark.createDataFrame([("thonin",)], "term string"), "term")
+    return chunks.groupBy("id", F.col("pos").cast("long").alias("pos"), "phrase").agg(F.count("*").alias("n"))
