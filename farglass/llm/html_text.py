@@ -1,20 +1,24 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides each block by the density of
-links, its length and the density of stop words: blocks of links are bad; long blocks with many stop
-words are good, shorter ones near-good; blocks with few are bad; blocks too short to judge stay open.
-Where stop words can say nothing (a script without spaces, or a page in a language that is not in
-the list) length and links decide alone. Marks add evidence: within ``article`` or ``main`` near-good
-becomes good, and a block that lacks stop words is open instead of bad. What menus, headers, footers,
-forms, notices, adverts and comments mark as theirs (element, role, or a class or id of such a name)
-is bad, but a name on a wrapper says nothing about an article or main element within, unless it names
-other texts (comments, related pages).
-
-The second pass gives open blocks (short and near-good) the label of the nearest decided neighbours:
-good between good ones, bad between bad ones, and with neighbours that differ, the nearer one's;
-near-good blocks need only one good neighbour. A main element counts as a good neighbour of all open
-blocks within, so a one-line article is kept. Outside, a heading goes with the block below it. Where the good blocks of main elements have at least as many words as those outside,
-what is outside is dropped.
+links, its length and the density of stop words, whatever element it is in: blocks of links are bad;
+long blocks with many stop words are good; all others are open: near-good ones (enough stop words),
+low ones (few) and those too short to judge. Where stop words can say nothing (a script without
+spaces, or a page in a language that is not in the list) length and links decide alone.
+
+Marks only move the thresholds. Within ``article`` or ``main`` a block is long with fewer words and
+needs fewer stop words. What menus, headers, footers, forms, notices, adverts and comments mark as
+theirs (element, role, or a class or id of such a name) is good only with very many words and stop
+words, and bad below, as it is never in doubt. A name on a wrapper says nothing about an article or main element
+within, unless it names other texts (comments, related pages).
+
+The second pass gives open blocks the label of the nearest decided neighbours. The page's ends are bad
+neighbours, and blocks of the same main element are nearer than those beyond its border. Between two
+good neighbours a block is good, between two bad ones it is bad. On a page without any good block long ones without links count as good. With neighbours that differ a
+long block is good if near-good and bad if low, another one has the nearer one's label, the bad one's at equal distance; a
+heading goes with the block below it. Only what both passes leave open is settled by the mark: a block
+that has no decided neighbour in its main element, or only bad ones, stays with the element. Where the
+good blocks of main elements have at least as many words as those outside, what is outside is dropped.
 
 Texts have their character references decoded and white space within a block made one space;
 blocks come in page order with one space between. Nothing is cut. Null and empty pages give an
@@ -71,8 +75,10 @@ NAME_PARTS = re.compile(r"[a-z]+")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-LONG_WORDS, SHORT_WORDS = 25, 8
-STOP_HIGH, STOP_LOW = 0.25, 0.12
+SHORT_WORDS = 8
+#: Words and share of stop words from which on a block is good: anywhere, in main elements, in what is marked as something else.
+GOOD = {"": (25, 0.25), "main": (12, 0.15), "other": (200, 0.5)}
+STOP_LOW = 0.12
 LINKS_BAD = 0.5
 #: A page of so few stop words among its words is in a language that the list does not hold.
 STOP_KNOWN = 0.02
@@ -221,34 +227,33 @@ def measure(b: Block) -> None:
 
 
 def first_pass(b: Block, known: bool) -> str:
-    """good, near, bad or short. ``known`` says whether the page's language is in the list."""
-    if b.bad or b.linked > LINKS_BAD * len(b.text):
+    """good, bad or open (near, low or short). ``known`` says whether the page's language is in the list."""
+    if b.linked > LINKS_BAD * len(b.text):
         return "bad"
-    if b.n < SHORT_WORDS or b.heading and b.scope:
-        return "bad" if b.linked and not b.scope else "short"
-    if not known or b.stops < 0:
-        label = "good" if b.n >= LONG_WORDS else "near"
-    elif b.stops >= STOP_HIGH * b.n:
-        label = "good" if b.n >= LONG_WORDS else "near"
-    else:
-        label = "near" if b.stops >= STOP_LOW * b.n and b.n >= LONG_WORDS else "bad"
-    return {"near": "good", "bad": "short"}.get(label, label) if b.scope else label
+    words, stops = GOOD["other" if b.bad else "main" if b.scope else ""]
+    telling = known and b.stops >= 0
+    if b.n >= words and (not telling or b.stops >= stops * b.n):
+        return "good"
+    if b.bad or b.n < SHORT_WORDS and b.linked and not b.scope:
+        return "bad"
+    if b.n < SHORT_WORDS or b.heading:
+        return "short"
+    return "near" if not telling or b.stops >= STOP_LOW * b.n else "low"
 
 
-def second_pass(k: int, b: Block, labels: list[str], sides: list[int]) -> bool:
-    """Whether an open block is main text, by its nearest decided neighbours ``sides``."""
-    near = [(abs(j - k), labels[j] == "good") for j in sides]
-    if b.scope:  # the element itself is the nearest neighbour, and a good one
-        return True
-    if not near:
-        return b.label == "near"
-    if b.label == "near":
-        return any(good for _, good in near)
+def second_pass(k: int, b: Block, labels: list[str], left: int, right: int) -> bool | None:
+    """Whether an open block is main text, by its nearest decided neighbours; None leaves it open.
+
+    ``left`` and ``right`` are their places; -1 and the number of blocks are the page's ends.
+    """
+    good = [0 <= j < len(labels) and labels[j] == "good" for j in (left, right)]
+    if good[0] == good[1]:
+        return good[0]
     if b.heading:
-        return sides[-1] > k and labels[sides[-1]] == "good"
-    if len(near) == 2 and near[0][1] == near[1][1]:
-        return near[0][1]
-    return min(near)[1]
+        return good[1]
+    if b.n >= GOOD[""][0]:
+        return b.label == "near"
+    return k - left < right - k if good[0] else right - k < k - left
 
 
 def classify(found: list[Block]) -> list[bool]:
@@ -259,21 +264,36 @@ def classify(found: list[Block]) -> list[bool]:
     known = sum(b.stops for b in judged) >= STOP_KNOWN * sum(b.n for b in judged)
     for b in found:
         b.label = first_pass(b, known)
+    if not any(b.label == "good" for b in found):  # a page without prose: long blocks without links stand for it
+        for b in found:
+            if b.label in ("near", "low") and not b.linked and (b.n >= GOOD[""][0] or b.scope):
+                b.label = "good"
     labels = [b.label for b in found]
-    decided = [x in ("good", "bad") for x in labels]
     n = len(found)
-    left: list[int | None] = [None] * n
-    right: list[int | None] = [None] * n
-    for k in range(1, n):
-        left[k] = k - 1 if decided[k - 1] else left[k - 1]
-    for k in range(n - 2, -1, -1):
-        right[k] = k + 1 if decided[k + 1] else right[k + 1]
+    left, right, inner_left, inner_right = [-1] * n, [n] * n, [-1] * n, [n] * n
+    for places, inner, order in ((left, inner_left, range(n)), (right, inner_right, range(n - 1, -1, -1))):
+        last, own, scope = places[0] if n and order.step > 0 else n, None, None
+        for k in order:
+            if found[k].scope != scope:
+                own, scope = None, found[k].scope
+            places[k], inner[k] = last, -2 if own is None else own
+            if labels[k] in ("good", "bad"):
+                last = own = k
     out = []
     for k, b in enumerate(found):
-        if decided[k]:
+        if labels[k] in ("good", "bad"):
             out.append(labels[k] == "good")
+            continue
+        if b.scope:
+            # Neighbours in the element are nearer than any beyond its border; without a good one there it decides.
+            sides = [j for j in (inner_left[k], inner_right[k]) if j >= 0]
+            good = [labels[j] == "good" for j in sides]
+            if not any(good) or all(good):
+                out.append(True)
+                continue
+            out.append(bool(second_pass(k, b, labels, *sides)))
         else:
-            out.append(second_pass(k, b, labels, [j for j in (left[k], right[k]) if j is not None and found[j].scope == b.scope]))
+            out.append(bool(second_pass(k, b, labels, left[k], right[k])))
     inside = sum(b.n for b, good in zip(found, out) if good and b.scope)
     outside = sum(b.n for b, good in zip(found, out) if good and not b.scope)
     return [good and (b.scope > 0 or inside < outside) for b, good in zip(found, out)] if inside else out
