@@ -42,39 +42,43 @@ def rules_literal(rules: list[license_rules.Rule]) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), RULE)
 
 
-def _spaces(x: str) -> str:
-    return f"(char_length({x}) - char_length(replace({x}, ' ', '')))"
-
-
-#: A rule's matches in the text: the pieces between matches give where each begins.
-MATCHES = f"""
+#: A rule's matches in the text: their ends are marked, and the marked words tell the places. A text of
+#: n words costs n for each rule that matches, however often it does.
+MATCHES = """
 flatten(transform(
   filter(license_rules, r -> forall(r.gates, g -> exists(g, a -> contains(license_text, a))) and rlike(license_text, r.pattern)),
-  r -> aggregate(
-    zip_with(regexp_extract_all(license_text, r.pattern, 0), split(license_text, r.pattern, -1), (h, p) -> struct(h as hit, p as piece)),
-    cast(struct(-1 as at, array() as found) as struct<at:int,found:{FOUND}>),
-    (acc, x) -> if(x.hit is null, acc, struct(
-      acc.at + {_spaces('x.piece')} + {_spaces('x.hit')} as at,
-      concat(acc.found, array(struct(
-        acc.at + {_spaces('x.piece')} as first, acc.at + {_spaces('x.piece')} + {_spaces('x.hit')} + 1 as stop,
-        r.number as number, r.label as label, r.priority as priority, r.confidence as confidence, r.base as base, true as kept))) as found)),
-    acc -> acc.found)))
+  r -> flatten(transform(
+    array(split(trim(regexp_replace(license_text, r.pattern, '\\x01$0\\x02')), ' ')),
+    words -> zip_with(
+      filter(transform(words, (w, i) -> if(startswith(w, '\\x01'), i, null)), i -> i is not null),
+      filter(transform(words, (w, i) -> if(endswith(w, '\\x02'), i + 1, null)), i -> i is not null),
+      (first, stop) -> struct(
+        first, stop, r.number as number, r.label as label, r.priority as priority, r.confidence as confidence, r.base as base, true as kept))))))
 """
 
+#: Detections that one inner fold goes through: arrays grow by copying, so a fold over n of them in two
+#: levels copies about n * FOLD / 2 + (n / FOLD)^2 / 2 elements.
+FOLD = 256
 _TOPS = ", ".join(f"0 as t{k}" for k in range(1, LEVELS + 1))
 _RAISED = ", ".join(f"if(x.d.priority >= {k}, greatest(acc.t{k}, x.d.stop), acc.t{k}) as t{k}" for k in range(1, LEVELS + 1))
 _TOP = "case x.d.priority " + " ".join(f"when {k} then acc.t{k}" for k in range(1, LEVELS + 1)) + " end"
 _TYPE = ", ".join(f"t{k}:int" for k in range(1, LEVELS + 1)).replace(" ", "")
 #: Going through detections by start, the longest and strongest first, one is inside another if an
 #: earlier one of its priority or more ends no sooner. tK is the last end for priorities from K up.
-SUPPRESSED = f"""
-aggregate(
-  array_sort(transform(license_matches, d -> struct(d.first as a, -d.stop as b, -d.priority as c, d.number as e, d as d))),
-  cast(struct({_TOPS}, array() as found) as struct<{_TYPE},found:{FOUND}>),
+_INNER = f"""
+aggregate(block, struct({", ".join(f"run.t{k} as t{k}" for k in range(1, LEVELS + 1))}, cast(array() as {FOUND}) as found),
   (acc, x) -> struct({_RAISED}, concat(acc.found, array(struct(
      x.d.first as first, x.d.stop as stop, x.d.number as number, x.d.label as label, x.d.priority as priority,
-     x.d.confidence as confidence, x.d.base as base, {_TOP} < x.d.stop as kept))) as found),
-  acc -> acc.found)
+     x.d.confidence as confidence, x.d.base as base, {_TOP} < x.d.stop as kept))) as found))
+"""
+SUPPRESSED = f"""
+flatten(aggregate(
+  transform(
+    array(array_sort(transform(license_matches, d -> struct(d.first as a, -d.stop as b, -d.priority as c, d.number as e, d as d)))),
+    s -> transform(sequence(0, (size(s) - 1) div {FOLD}), k -> slice(s, cast(k * {FOLD} + 1 as int), {FOLD})))[0],
+  cast(struct({_TOPS}, array() as found) as struct<{_TYPE},found:array<{FOUND}>>),
+  (run, block) -> transform(array({_INNER}), x -> struct({", ".join(f"x.t{k} as t{k}" for k in range(1, LEVELS + 1))}, concat(run.found, array(x.found)) as found))[0],
+  run -> run.found))
 """
 
 

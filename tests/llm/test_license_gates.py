@@ -78,3 +78,13 @@ def test_gated_rules_hold_an_anchor():
     for r in license_rules.build():
         for s in set(samples(_parser.parse(r.pattern), False)):
             assert r.base or any(a in f" {s} " for a in licenses.ANCHORS), r
+
+
+def test_a_text_of_very_many_matches(spark):
+    n = 30_000
+    docs = spark.createDataFrame([(1, "cc by nc " * n + "licensed under the mit license " * 300)], "doc_id long, text string")
+    found = licenses.scan(docs).first().license_found
+    kept = [d.first for d in found if d.base]
+    assert kept == [3 * i for i in range(n)] + [3 * n + 5 * i + 1 for i in range(300)]
+    inside = [(d.first, d.stop) for d in found if d.kept]
+    assert all(a[1] <= b[0] for a, b in zip(inside, inside[1:], strict=False))
