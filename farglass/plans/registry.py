@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("money", "tables", "texts", "vectors", "more", "rest", "sources", "further")
+MODULES = ("money", "tables", "texts", "vectors", "more", "rest", "sources", "further", "joins")
 
 
 def query(sql: str | None = None):
