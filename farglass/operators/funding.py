@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farglass.operators.series import fill_periods, period_totals
+from farglass.operators.series import fill_periods, period_quantiles, period_totals
 
 
 def deduplicate_projects(projects: DataFrame, keys: Sequence[str] = ("title", "description"), start: str = "start", amount: str = "amount") -> DataFrame:
-    """One row for each key, that with the earliest start, with the group's summed amount."""
-    group = Window.partitionBy(*keys)
-    ranked = projects.withColumns({"group_sum": F.sum(amount).over(group), "group_rank": F.row_number().over(group.orderBy(F.col(start).asc_nulls_last(), F.col(amount)))})
-    return ranked.where("group_rank = 1").withColumn(amount, F.coalesce("group_sum", F.lit(0))).drop("group_sum", "group_rank")
+    """One row for each key, that with the earliest start (then the smallest amount), with the group's
+    summed amount. Sums and earliest rows are formed before the shuffle."""
+    first = F.min_by(F.struct(*projects.columns), F.struct(F.col(start).isNull(), F.col(start), F.col(amount)))
+    rows = projects.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.coalesce(F.sum(amount), F.lit(0)).alias("_sum"), first.alias("_first"))
+    return rows.select(*((F.col("_sum") if c == amount else F.col(f"_first.{c}")).alias(c) for c in projects.columns))
 
 
 def project_series(projects: DataFrame, period: str, min_year: int, max_year: int, by: Sequence[str] = ()) -> DataFrame:
@@ -25,7 +26,10 @@ def project_series(projects: DataFrame, period: str, min_year: int, max_year: in
     """
     keys = (*by, "title", "description")
     counts = period_totals(deduplicate_projects(projects, keys), "start", period, {"n_projects": F.count("*")}, by)
-    money = period_totals(projects, "start", period, {"amount_total": F.coalesce(F.sum("amount"), F.lit(0)) / 1000.0, "amount_median": F.median("amount") / 1000.0}, by)
+    money = period_totals(projects, "start", period, {"amount_total": F.coalesce(F.sum("amount"), F.lit(0)) / 1000.0}, by)
+    middle = period_quantiles(projects, "start", "amount", period, [0.5], ["amount_median"], by)
+    same = [money[c].eqNullSafe(middle[c]) for c in (*by, "period")]
+    money = money.join(middle, same, "left").select(*(money[c] for c in money.columns), (middle["amount_median"] / 1000.0).alias("amount_median"))
     both = counts.join(money, [*by, "period"], "full_outer")
     return fill_periods(both, period, min_year, max_year, by)
 
@@ -67,8 +71,8 @@ def start_end(funds: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 def latest_row(rows: DataFrame, key: str, when: str, tie: str) -> DataFrame:
     """Each key's row with the latest date; among equal dates the largest ``tie``."""
-    order = Window.partitionBy(key).orderBy(F.col(when).desc_nulls_last(), F.col(tie).desc())
-    return rows.withColumn("latest_rank", F.row_number().over(order)).where("latest_rank = 1").drop("latest_rank")
+    latest = F.max_by(F.struct(*rows.columns), F.struct(F.col(when).isNotNull(), F.col(when), F.col(tie)))
+    return rows.groupBy(F.col(key).alias("_key")).agg(latest.alias("_row")).select("_row.*")
 
 
 def latest_values(rows: DataFrame, key: str, when: str, columns: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from farglass.operators.quantiles import exact_quantiles
 from farglass.runtime import checked_broadcast
 
 MONTHS = {"month": 1, "quarter": 3, "year": 12}
@@ -34,6 +35,12 @@ def period_totals(rows: DataFrame, when: str, period: str, aggregates: dict[str,
     return dated.groupBy(*by, "period").agg(*(v.alias(k) for k, v in aggregates.items()))
 
 
+def period_quantiles(rows: DataFrame, when: str, value: str, period: str, shares: Sequence[float], names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles of a value for each category and period, however many rows those have."""
+    dated = rows.withColumn("period", period_start(F.col(when), period)).where(F.col("period").isNotNull())
+    return exact_quantiles(dated, [*by, "period"], value, shares, names)
+
+
 def fill_periods(series: DataFrame, period: str, min_year: int, max_year: int, by: Sequence[str] = (), values: Sequence[str] | None = None) -> DataFrame:
     """A row for every period from the first of ``min_year`` to the last of ``max_year``, or to the
     data's last period where that is later; missing values are 0 and earlier periods go.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from farglass.operators import funding, series
+from farglass.operators.quantiles import exact_quantiles
 from farglass.plans import standins as S
 from farglass.plans.registry import query
 
@@ -46,7 +47,7 @@ def a2_monthly_funding(spark, d):
 
 @query(f"{R} select date_trunc('quarter', announced_on)::date as period, kind, round(median(amount) / 1000, 6) as median_amount from rounds group by all")
 def a3_median_per_quarter(spark, d):
-    return series.period_totals(S.rounds(spark, d), "announced_on", "quarter", {"median_amount": F.round(F.median("amount") / 1000, 6)}, ["kind"])
+    return series.period_quantiles(S.rounds(spark, d), "announced_on", "amount", "quarter", [0.5], ["m"], ["kind"]).select("kind", "period", F.round(F.col("m") / 1000, 6).alias("median_amount"))
 
 
 @query(f"{C} select country, count(*) as n_companies from companies group by country")
@@ -83,10 +84,10 @@ def a27_grouping_sets(spark, d):
 
 @query(f"{R} select kind, count(*) as n, round(avg(amount), 6) as mean, round(stddev_samp(amount), 3) as sd, min(amount) as low, round(quantile_cont(amount, 0.25), 6) as q1, round(quantile_cont(amount, 0.5), 6) as q2, round(quantile_cont(amount, 0.75), 6) as q3, max(amount) as high from rounds group by kind")
 def a29_summary_statistics(spark, d):
-    q = F.percentile("amount", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return S.rounds(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("amount"), 6).alias("mean"), F.round(F.stddev_samp("amount"), 3).alias("sd"), F.min("amount").alias("low"), q.alias("q"), F.max("amount").alias("high")).select(
-        "kind", "n", "mean", "sd", "low", *(F.round(F.col("q")[k], 6).alias(f"q{k + 1}") for k in range(3)), "high"
-    )
+    rounds = S.rounds(spark, d)
+    middle = exact_quantiles(rounds, ["kind"], "amount", [0.25, 0.5, 0.75], ["q1", "q2", "q3"])
+    sums = rounds.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("amount"), 6).alias("mean"), F.round(F.stddev_samp("amount"), 3).alias("sd"), F.min("amount").alias("low"), F.max("amount").alias("high"))
+    return sums.join(middle, "kind").select("kind", "n", "mean", "sd", "low", *(F.round(q, 6).alias(q) for q in ("q1", "q2", "q3")), "high")
 
 
 @query(f"""{C} select year(founded_on) as year, count(*) as n, count(*) filter (industry = 'BUILDING') as n_building, count(*) filter (industry = 'BUILDING') / count(*) as share

@@ -89,7 +89,11 @@ def a8_a10_top_industries(spark, d):
 
 @query("select lang, sum(len(string_split(text, ' ')))::bigint as n_words, list_sort(list_distinct(flatten(list(string_split(source, 'r'))))) as parts from documents group by lang")
 def a11_concat_arrays(spark, d):
-    return S.read(spark, d, "documents").groupBy("lang").agg(F.sum(F.size(F.split("text", " "))).alias("n_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.split("source", "r"))))).alias("parts"))
+    rows = S.read(spark, d, "documents")
+    sums = rows.groupBy("lang").agg(F.sum(F.size(F.split("text", " "))).alias("n_words"))
+    parts = rows.groupBy("lang", "source").count().select("lang", F.explode(F.split("source", "r")).alias("part")).distinct()
+    parts = parts.groupBy(F.col("lang").alias("own")).agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    return sums.join(parts, F.col("lang").eqNullSafe(F.col("own"))).drop("own")
 
 
 @query("select user_id, count(*) as n, round(sum(value), 4) as total, round(avg(value), 6) as mean, max(value) as high from events group by user_id")

@@ -131,3 +131,16 @@ def test_streams_replayed_out_of_order(spark, replay, tmp_path):
         assert sorted((r.event_id, r.next_event_id) for r in spark.read.parquet(f"{tmp_path}/pairs").collect()) == sorted((r.event_id, r.next_event_id) for r in both(twice).collect())
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+
+
+def test_exact_quantiles(spark):
+    from farglass.operators.quantiles import exact_quantiles
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "a", None]), 1, rng.choice([None, 1.0, 2.5, rng.uniform(0, 9)])) for _ in range(400)] + [("b", 1, None), ("c", 1, 4.0)]
+    table = spark.createDataFrame(rows, "k string, one int, x double").repartition(5)
+    got = {r.k: (r.q1, r.q2, r.q3) for r in exact_quantiles(table, ["k"], "x", [0.25, 0.5, 1.0], ["q1", "q2", "q3"]).collect()}
+    assert got["b"] == (None, None, None) and got["c"] == (4.0, 4.0, 4.0)
+    want = table.groupBy("k").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(1.0))).alias("q")).collect()
+    assert all(got[r.k] == pytest.approx(tuple(r.q)) for r in want if r.q)
+    assert exact_quantiles(table, [], "x", [0.5], ["m"]).first().m == pytest.approx(table.agg(F.median("x")).first()[0])
