@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from farglass.functions import text as T
-from farglass.operators import collocation, patterns, search
+from farglass.operators import collocation, morphology, patterns, search
 from farglass.plans import standins as S
 from farglass.plans.registry import query
+from farglass.runtime import materialise
 
 STOP = ("the", "and", "of", "de", "la", "le", "der", "die", "und", "que", "a", "en")
 
@@ -232,3 +233,22 @@ def n12_noun_chunks(spark, d):
     cut = search.sentences(docs(spark, d), ["id"], "text").withColumn("words", collocation.tokens(F.col("sentence"), least=1))
     chunks = patterns.chunks_with(patterns.noun_chunks(cut, ["id", "pos"], "words"), spark.createDataFrame([("thonin",)], "term string"), "term")
     return chunks.groupBy("id", F.col("pos").cast("long").alias("pos"), "phrase").agg(F.count("*").alias("n"))
+
+
+@query(f"""{DOCS}, v as (select word, count(*) as n from (select unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}'']+')) as word from docs) where len(word) >= 2 group by word having count(*) >= 20),
+splits as (select word, n, left(word, len(word) - k) as stem, right(word, k) as ending from (select word, n, unnest(range(0, least(4, len(word) - 3) + 1)) as k from v where len(word) >= 3)),
+kept as materialized (select * from splits where ending in (select ending from splits group by ending having count(*) >= 30)),
+led as (select a.word, a.n, a.stem, a.ending as longer, b.ending as shorter, b.word as lemma, b.n as lemma_n from kept a join kept b using (stem) where len(a.ending) > len(b.ending)),
+pairs as (select longer, shorter, count(*) as support from led group by all having count(*) >= 20)
+select word, lemma, support from (select word, lemma, support, row_number() over (partition by word order by support desc, len(stem) desc, shorter) as r from led join pairs using (longer, shorter) where lemma_n * 10 >= n) where r = 1""")
+def f8_lemmas(spark, d):
+    """Words and the forms that the corpus's endings lead them to."""
+    words = docs(spark, d).select(collocation.tokens(F.col("text")).alias("words"))
+    return morphology.lemma_steps(materialise(morphology.vocabulary(words, "words", 20), "vocabulary"))
+
+
+@query(SENTENCES + """, w as (select unnest(list_filter(regexp_split_to_array(sentence, '[^\\p{L}'']+'), lambda x: x <> '')[2:]) as w from sentences)
+select lower(w) as word, count(*) as n, count(*) filter (regexp_matches(w, '^\\p{Lu}')) as n_capital from w group by 1 having count(*) >= 3 and count(*) filter (regexp_matches(w, '^\\p{Lu}')) >= count(*) * 0.9""")
+def n1_names(spark, d):
+    """Words that have a capital where no sentence begins."""
+    return morphology.name_words(search.sentences(docs(spark, d), ["id"], "text"), "sentence")
