@@ -9,8 +9,8 @@ So a source's words are its target in the mean, with a standard deviation of at
 of the sum of its documents' squared sizes: a source of many documents comes near its target, one of
 a few documents may miss it by half a document or more.
 
-Nulls: a null text has size 0; the null source is a source of its own and comes last; null ids draw
-as the id ``null``. Repeated rows draw alike. Sources without words have target 0. An empty table
+Nulls: a null text has size 0; the null source is a source of its own and comes last; a null id
+draws by its text. Repeated rows draw alike. Sources without words have target 0. An empty table
 gives no rows. Further columns pass through; where one begins with ``mix_``, the columns added take
 another underscore (``columns.free_prefix``).
 """
@@ -28,9 +28,10 @@ SEED = 0
 PREFIX = "mix_"
 
 
-def draw(id_col: Column, seed: int = SEED) -> Column:
-    """A number in [0, 1) of 32 bits of the MD5 of ``seed:id``."""
-    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("null"))))
+def draw(id_col: Column, text_col: Column, seed: int = SEED) -> Column:
+    """A number in [0, 1) of 32 bits of the MD5 of ``seed:id``; without an id its text's MD5 stands for it."""
+    name = F.coalesce(id_col.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text_col, F.lit("")))))
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), name))
     return F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
@@ -74,7 +75,7 @@ def mix(
     sized = docs.withColumn(f"{p}size", solid_word_count(own(text_col)))
     joined = sized.join(checked_broadcast(rates), own(source_col).eqNullSafe(F.col(f"{p}source")))
     whole = F.floor(f"{p}rate")
-    copies = whole + (draw(own(id_col), seed) < F.col(f"{p}rate") - whole).cast("long")
+    copies = whole + (draw(own(id_col), own(text_col), seed) < F.col(f"{p}rate") - whole).cast("long")
     return joined.select(*all_of(docs), *(F.col(p + c) for c in ("size", "source_size", "target", "rate")), copies.alias(f"{p}copies"))
 
 

@@ -8,10 +8,10 @@ _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-_DRAW = f"(('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint / 4294967296.0)"
+_DRAW = f"(('0x' || substr(md5('{SEED}:' || name), 1, 8))::bigint / 4294967296.0)"
 
 MIX = rf"""
-with sizes as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SOLID}'))::bigint as size from documents),
+with sizes as (select doc_id, coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, ''))) as name, source, len(regexp_extract_all(coalesce(text, ''), '{_SOLID}'))::bigint as size from documents),
 sources as (
   select source, sum(size)::bigint as source_size, [3.0, 1.0, 2.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as w
   from sizes group by source),

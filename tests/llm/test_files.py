@@ -205,6 +205,13 @@ def test_the_copy_is_a_bernoulli_draw(spark):
     assert len({r.mix_copies for r in rows}) == 2
 
 
+def test_rows_without_ids_draw_by_their_texts(spark):
+    docs = frame(spark, [f"w{k} w" for k in range(400)], ["s"] * 400).withColumn("doc_id", F.lit(None).cast("long"))
+    rows = mixing.mix(docs, weights=(1,), share=1.75, most=5.0).collect()
+    drawn = sum(r.mix_copies - 1 for r in rows)
+    assert abs(drawn - 300) <= 3 * (400 * 0.75 * 0.25) ** 0.5
+
+
 def test_mix_keeps_columns_of_its_own_names(spark):
     names = ["mix_size", "mix_copies", "mix_source", "MIX_number", "source_size", "target", "a.b"]
     docs = frame(spark, ["a b", None, "c"], ["x", "y", None]).select("doc_id", "text", "source", *(F.lit(f"own {n}").alias(n) for n in names))
