@@ -123,7 +123,7 @@ ns as (select year, count(*) as n from sentences group by year), tot as (select
 pm as (select co.year, co.term, co.ngram, co."both", log2((co."both" / n) / ((t1.total / n) * (pow(t2.total, 0.75) / pow(n, 0.75)))) as pmi from co join ns using (year) join tot t1 on t1.year = co.year and t1.ngram = co.term join tot t2 on t2.year = co.year and t2.ngram = co.ngram)"""
 
 
-TERMS = ("thonin", "heron", "ingly", "is the")
+TERMS = ("the", "und", "que")
 
 
 def _sentences(spark, d):
@@ -204,10 +204,10 @@ def _class_sql(w: str) -> str:
 _LONGEST = """list_reduce(list_sort(list_transform(spans, lambda s: [s.s - s.e, s.s, s.e])), lambda acc, x: case when len(list_filter(acc, lambda o: o[2] < x[3] and x[2] < o[3])) > 0 then acc else list_append(acc, x) end, [[0]][:0])"""
 
 WORDS = SENTENCES + """, lines as (select id, pos, list_filter(regexp_split_to_array(lower(sentence), '[^\\p{L}'']+'), lambda w: len(w) >= 1) as w from sentences)"""
-TERMS = ("thonin", "heron", "ingly", "is the")
+PHRASE_TERMS = ("thonin", "heron", "ingly", "is the")
 
 
-@query(WORDS + f""", terms(term) as (values {", ".join(f"('{t}')" for t in TERMS)}),
+@query(WORDS + f""", terms(term) as (values {", ".join(f"('{t}')" for t in PHRASE_TERMS)}),
 made as (select id, pos, term, string_split(array_to_string(w, ' '), ' ') as w0, list_filter(string_split(replace(replace(array_to_string(list_transform(w, lambda x: chr(2) || x || chr(3)), ''), array_to_string(list_transform(string_split(term, ' '), lambda x: chr(2) || x || chr(3)), ''), chr(2) || chr(1) || chr(3)), chr(2), ''), chr(3)), lambda x: x <> '') as w
   from lines, terms where list_has_all(w, string_split(term, ' '))),
 lettered as materialized (select id, pos, term, w, array_to_string(list_transform(w, lambda x: {_class_sql("x")}), '') as letters from made where list_contains(w, chr(1))),
@@ -219,7 +219,7 @@ select id, pos, term, pattern, k[2] as start, replace(array_to_string(w[k[2] + 1
 def n13_term_phrases(spark, d):
     """Nine patterns around each of several terms; the terms are a table."""
     cut = search.sentences(docs(spark, d), ["id"], "text").withColumn("words", collocation.tokens(F.col("sentence"), least=1))
-    terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
+    terms = spark.createDataFrame([(t,) for t in PHRASE_TERMS], "term string")
     found = patterns.term_phrases(cut, ["id", "pos"], "words", terms, "term")
     return found.select("id", F.col("pos").cast("long").alias("pos"), "term", "pattern", F.col("start").cast("long").alias("start"), "phrase")
 
