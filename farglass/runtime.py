@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -109,14 +109,14 @@ def checked_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROAD
 HOT_SHARE = 10_000
 
 
-def split_join(left: DataFrame, right: DataFrame, *keys: str, share: int | None = None) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], share: int | None = None) -> DataFrame:
     """Inner join of ``left`` with a table that has one row for each key, whatever a key's share is.
 
     Keys with at least one ``share``-th of the rows of ``left`` are at most ``share`` keys, so their
     rows of ``right`` are broadcast, and no task gathers a hot key; the rest is joined as usual. Rows
     with a null key are dropped. ``left`` is read three times and should be materialised.
     """
-    on, share = list(keys), share or HOT_SHARE
+    on, share = [keys] if isinstance(keys, str) else list(keys), share or HOT_SHARE
     counts = left.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("_rows"))
     hot = materialise(counts.where(F.col("_rows") * share >= left.count()).select(*on), "hot_keys")
     few = left.join(F.broadcast(right.join(F.broadcast(hot), on)), on)
@@ -127,7 +127,7 @@ def lookup(left: DataFrame, right: DataFrame, *keys: str, rows: int | None = Non
     """``split_join`` for a table of short rows, which is sent whole where its count (``rows``, if known)
     shows it to be small."""
     rows = right.count() if rows is None else rows
-    return left.join(F.broadcast(right), list(keys)) if rows <= BROADCAST_ROWS else split_join(left, right, *keys)
+    return left.join(F.broadcast(right), list(keys)) if rows <= BROADCAST_ROWS else split_join(left, right, keys)
 
 
 def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
