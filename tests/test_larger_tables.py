@@ -3,6 +3,11 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from farglass.operators import linking, ranges
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_equal_sums_are_ordered_by_id(spark, tmp_path):
@@ -17,3 +22,39 @@ def test_equal_sums_are_ordered_by_id(spark, tmp_path):
     for name, (rows, schema) in made.items():
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{d}/{name}.parquet")
     assert [(r.id, r["rank"]) for r in entry.queries()["o1_o4_custom_order"](spark, d).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+def test_intervals_in_bins_are_not_broadcast(spark):
+    """Tables are small before their rows are put into bins, so a side would be sent to the driver."""
+    spans = spark.createDataFrame([(k, k, k + 2**j) for k in range(20) for j in range(6)], "id long, a long, b long")
+    made = ranges.overlap_join(spans, spans.withColumnRenamed("id", "other_id"), "a", "b")
+    assert "Broadcast" not in plan(made)
+    rows = [tuple(r) for r in spans.collect()]
+    want = sorted((i, j) for i, a, b in rows for j, c, e in rows if a <= e and c <= b)
+    assert sorted((r.id, r.other_id) for r in made.collect()) == want
+
+
+def test_rounds_of_a_day_meet_a_span_as_one_row(spark, monkeypatch):
+    seen, join = [], ranges.overlap_join
+    monkeypatch.setattr(ranges, "overlap_join", lambda left, right, *rest: seen.append((right.count(), right.select("a").distinct().count())) or join(left, right, *rest))
+    entry.queries()["j24_rounds_in_spans"](spark, "/root/testdata/sf0.001")
+    assert seen[0][0] == seen[0][1]
+
+
+def test_similar_names_are_compared_once(spark, monkeypatch):
+    """Rows that share a name add rows to the result, not comparisons; grams are not broadcast."""
+    left = spark.createDataFrame([(k, "x", "alpha beta" if k % 2 else "gamma delta") for k in range(40)], "id long, block string, name string")
+    right = spark.createDataFrame([(k, "x", "alpha betas") for k in range(30)] + [(99, None, "alpha beta")], "id long, block string, name string")
+    stored, keep = {}, linking.materialise
+    monkeypatch.setattr(linking, "materialise", lambda df, name: stored.setdefault(name, []).append(df) or keep(df, name))
+    found = linking.fuzzy_match(left, right, "id", "id", "name", "block", 0.6)
+    assert sorted((r.left_id, r.right_id) for r in found.collect()) == [(a, b) for a in range(1, 40, 2) for b in range(30)]
+    assert [x.count() for x in stored["similar_names"]] == [1] and "Broadcast" not in plan(stored["similar_names"][0])
+
+
+def test_cascade_joins_one_right_row_for_a_key(spark):
+    left = spark.createDataFrame([(k, "k") for k in range(50)], "id long, a string")
+    right = spark.createDataFrame([(k, "k") for k in range(100, 150)] + [(1, "")], "rid long, a string")
+    made = linking.cascade_match(left, right, [(F.col("a"), F.col("a"))], "id", "rid")
+    assert {(r.id, r.rid, r.step) for r in made.collect()} == {(k, 100, 0) for k in range(50)}
+    assert plan(made).index("min(r") < plan(made).rindex("min(r") and plan(made).count("functions=[min(r") >= 4
