@@ -39,7 +39,7 @@ BYTES = 8
 WIDTH = 3
 SEED = 42
 #: A list with more pairs to compare is split by a further position's bytes.
-CROWD = 1024
+CROWD = 16
 #: Fingerprints to a task.
 SPREAD = 10_000
 #: Shingles of a text whose hashes are in hand at a time.
@@ -63,9 +63,18 @@ def fingerprint(text: str, shingle: int = 4, seed: int = SEED) -> int:
     ends = ends[shingle - 1 :]
     counts = np.zeros(64, np.int64)
     for k in range(0, len(starts), CHUNK):
-        hashes = np.array([xxh(line[a:b], seed) for a, b in zip(starts[k : k + CHUNK].tolist(), ends[k : k + CHUNK].tolist())], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+        counts += ones(np.array([xxh(line[a:b], seed) for a, b in zip(starts[k : k + CHUNK].tolist(), ends[k : k + CHUNK].tolist())], "<u8"))
+    return majority(counts, len(starts))
+
+
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each bit."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that more than half of ``n`` hashes set."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def text_hash(text_col: str) -> Column:
