@@ -75,7 +75,7 @@ class IdEncoder:
     library whole.
     """
 
-    def __init__(self, path: str, typecode: str = "I", memo: int = MEMO):
+    def __init__(self, path: str, typecode: str = "I", memo: int = MEMO // 4):
         self.lib, self.typecode = load(path), typecode
         self.model = self.lib.model
         self.newline = self._library("\n")
