@@ -25,7 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that five-word shingles with a similarity of 0.8 or more link, the smallest id stays."""
+    """Of each group that five-word shingles with a similarity of 0.8 or more link, the smallest id stays.
+
+    Candidates are SimHash fingerprints near each other, then MinHash lists for what those miss.
+    """
     return simhash.keep_one(docs, materialise(similar.near_duplicates(docs, shingle=5, share=(4, 5)), "duplicates"))
 
 

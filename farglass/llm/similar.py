@@ -1,4 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: lists by MinHash, then an exact test.
+"""Near-duplicates by the Jaccard similarity of word shingles: candidates by SimHash, lists by MinHash for
+what its fingerprints miss, then an exact test.
+
+Each set of shingles has a SimHash fingerprint. Equal fingerprints and those that ``simhash.links`` finds
+near (its byte index with count filtering) are candidates; those that pass the exact test make the first
+components. Fingerprints miss pairs of similar sets, so MinHash lists bring together the rest.
 
 Texts with the same words are one node from the start. ``BANDS`` lists of ``ROWS`` least hashes each
 bring nodes together: two nodes of similarity s miss each other in all lists with a chance of
@@ -29,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farglass.llm import simhash
 from farglass.llm.columns import own
 from farglass.llm.simhash import SEED, name_components, text_hash
 from farglass.operators import components
@@ -86,18 +92,35 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of hashes."""
+    return simhash.majority(sum((simhash.ones(hashes[k : k + CHUNK]) for k in range(0, len(hashes), CHUNK)), np.zeros(64, np.int64)), len(hashes))
+
+
+def near_prints(prints: DataFrame) -> DataFrame:
+    """Candidates ``u, v`` for ``node, fp``: nodes of one fingerprint, and of near ones as ``simhash.links``
+    connects them, by the smallest node of each."""
+    first = materialise(prints.groupBy("fp").agg(F.min("node").alias("first")), "first_nodes")
+    same = prints.join(first, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    near = simhash.links(first.select("fp"))
+    for end in "uv":
+        near = near.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}")), end)
+    return same.union(near.select("first_u", "first_v"))
+
+
 def signatures(lines: DataFrame, shingle: int) -> DataFrame:
-    """``node, n, bands, parity`` for ``node, line``: the number of shingles, the names of the lists,
-    the parities."""
+    """``node, n, bands, parity, fp`` for ``node, line``: the number of shingles, the names of the lists,
+    the parities, the fingerprint."""
 
     def compute(batches):
         for batch in batches:
             made = [shingles(x, shingle) for x in batch.column(1).to_pylist()]
             names = pa.array([bands(x).view(np.int64) for x in made], pa.list_(pa.int64()))
             odd = pa.array([parity(x) for x in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, made)), pa.int32()), names, odd], names=["node", "n", "bands", "parity"])
+            prints = pa.array(np.array([print_of(x) for x in made], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, made)), pa.int32()), names, odd, prints], names=["node", "n", "bands", "parity", "fp"])
 
-    return lines.mapInArrow(compute, "node long, n int, bands array<long>, parity array<long>")
+    return lines.mapInArrow(compute, "node long, n int, bands array<long>, parity array<long>, fp long")
 
 
 def sets(lines: DataFrame, shingle: int) -> DataFrame:
@@ -124,9 +147,10 @@ def alone(held: DataFrame) -> DataFrame:
     return once.groupBy("node").agg(F.count("*").cast("int").alias("alone"))
 
 
-def links(met: DataFrame, held: DataFrame, odd: DataFrame, share: tuple[int, int] = (4, 5)) -> DataFrame:
+def links(met: DataFrame, held: DataFrame, odd: DataFrame, share: tuple[int, int] = (4, 5), known: DataFrame | None = None) -> DataFrame:
     """Links ``u, v`` that connect what similar members of the lists ``list, node, n`` connect;
-    ``odd`` has ``node, parity``."""
+    ``odd`` has ``node, parity``. Links ``known`` before are among the result, and what they connect is
+    not compared."""
     key = ["list"]
     # Sets of a and b that share s have a similarity of s / (a + b - s).
     fits = F.least("cu", "cv") * sum(share) >= (F.col("nu") + F.col("nv")) * share[0]
@@ -134,7 +158,10 @@ def links(met: DataFrame, held: DataFrame, odd: DataFrame, share: tuple[int, int
     near = apart * sum(share) <= (F.col("nu") + F.col("nv")) * (share[1] - share[0])
     met = met.join(checked_broadcast(materialise(alone(held), "alone")), "node", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     met = materialise(met, "bounded")
-    found, placed = None, met.withColumn("component", F.col("node"))
+    found, placed = known, met.withColumn("component", F.col("node"))
+    if known is not None:
+        comps = materialise(components.connected_components(known), "known_components").withColumnsRenamed({"component": "joined"})
+        placed = materialise(met.join(checked_broadcast(comps), "node", "left").select(*key, "node", "n", "common", F.coalesce("joined", "node").alias("component")), "placed")
     for turn in range(STAR_ROUNDS + 1):
         held_by = placed.groupBy(*key, "component").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("common") / F.greatest("n", F.lit(1)) if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("h"), "node", F.col("n").alias("size"), "common")).alias("hub"), F.min("n").alias("least"))
         mixed = held_by.groupBy(*key).agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.min("hub").alias("hub"), F.min("least").alias("least"), F.count("*").alias("parts")).where("parts > 1")
@@ -169,13 +196,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = materialise(lines.select("own_id", "text_hash", "node"), "rows")
     marks = materialise(signatures(lines.select("node", "line"), shingle), "signatures")
     # Copies go before their lists are opened, and of the lists only those with two members go on.
-    once = materialise(marks.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity")), "distinct_signatures")
+    once = materialise(marks.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("parity").alias("parity"), F.first("fp").alias("fp")), "distinct_signatures")
     listed = once.select("node", "n", F.explode("bands").alias("list"))
     shared = materialise(listed.groupBy("list").agg(F.count("*").alias("members")).where("members > 1").select("list"), "shared_lists")
     met = materialise(listed.join(checked_broadcast(shared), "list"), "met")
-    wanted = materialise(met.select("node").distinct(), "wanted")
+    asked = materialise(near_prints(once.select("node", "fp")), "near_prints")
+    wanted = materialise(met.select("node").union(asked.select("u")).union(asked.select("v")).distinct(), "wanted")
     texts = lines.select("node", "line").join(checked_broadcast(wanted), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
     held = materialise(sets(texts, shingle), "sets")
     odd = materialise(once.select("node", "parity").join(checked_broadcast(wanted), "node", "left_semi"), "parities")
-    named = name_components(rows, components.connected_components(links(met, held, odd, share)), "node")
+    known = materialise(similar(asked, held, share), "similar_prints")
+    named = name_components(rows, components.connected_components(links(met, held, odd, share, known)), "node")
     return named.select(F.col("own_id").alias(id_col), "text_hash", "node", "component", "component_id")

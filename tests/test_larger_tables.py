@@ -58,3 +58,18 @@ def test_cascade_joins_one_right_row_for_a_key(spark):
     made = linking.cascade_match(left, right, [(F.col("a"), F.col("a"))], "id", "rid")
     assert {(r.id, r.rid, r.step) for r in made.collect()} == {(k, 100, 0) for k in range(50)}
     assert plan(made).index("min(r") < plan(made).rindex("min(r") and plan(made).count("functions=[min(r") >= 4
+
+
+def test_near_dedup_takes_candidates_from_fingerprints(spark, monkeypatch):
+    """SimHash's links come first; an exact test follows."""
+    import corpus_pipeline
+    from farglass.llm import similar, simhash
+
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes, *rest: asked.append(nodes.count()) or links(nodes, *rest))
+    text = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, text.upper()), (4, "some other words that stand alone"), (5, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 4, 5]
+    assert asked and asked[0] >= 2
+    one, other = (similar.shingles(x) for x in (text, text + " end"))
+    assert bin(similar.print_of(one) ^ similar.print_of(other)).count("1") <= 4
