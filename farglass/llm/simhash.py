@@ -138,8 +138,10 @@ def _split(crowded: DataFrame, width: int, wider: int) -> DataFrame:
     """``list, fp, component`` in the parts of crowded lists: those of more positions around theirs."""
     base = F.col("base")
     parts = [F.struct(_name(k, c).alias("list"), F.lit(sum(1 << p for p in c)).alias("mask")) for k, c in enumerate(covering(wider))]
-    told = crowded.withColumn("base", _mask(width, F.col("list"))).select("fp", "component", "base", F.explode(F.array(*parts)).alias("part"))
-    return told.where(F.col("part.mask").bitwiseAND(base) == base).select(F.col("part.list").alias("list"), "fp", "component").distinct()
+    # Only the parts around the row's list are made rows, not one for each set of positions.
+    around = F.filter(F.array(*parts), lambda p: p["mask"].bitwiseAND(base) == base)
+    told = crowded.withColumn("base", _mask(width, F.col("list"))).select("fp", "component", F.explode(around).alias("part"))
+    return told.select(F.col("part.list").alias("list"), "fp", "component").distinct()
 
 
 def links(nodes: DataFrame, most: int = 4, width: int = WIDTH, crowd: int = CROWD) -> DataFrame:

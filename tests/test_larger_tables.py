@@ -73,3 +73,15 @@ def test_near_dedup_takes_candidates_from_fingerprints(spark, monkeypatch):
     assert asked and asked[0] >= 2
     one, other = (similar.shingles(x) for x in (text, text + " end"))
     assert bin(similar.print_of(one) ^ similar.print_of(other)).count("1") <= 4
+
+
+def test_crowded_lists_make_only_the_parts_around_them(spark, monkeypatch):
+    """All 70 sets of four positions were made rows for each member; five hold the list's three."""
+    from farglass.llm import simhash
+
+    seen, explode = [], F.explode
+    nodes = spark.createDataFrame([(k * 0x0123456789ABCD,) for k in range(5)], "fp long")
+    crowded = simhash.postings(nodes, 3).withColumn("component", F.col("fp")).limit(40)
+    monkeypatch.setattr(simhash.F, "explode", lambda c: seen.append(c) or explode(c))
+    assert simhash._split(crowded, 3, 4).count() > 0
+    assert {r.n for r in crowded.withColumn("base", simhash._mask(3, F.col("list"))).select(F.size(seen[0]).alias("n")).collect()} == {5}
