@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from farglass.operators import linking, ranges
+from farglass.operators import collocation, linking, ranges
 
 
 def plan(df):
@@ -75,6 +75,33 @@ def test_near_dedup_takes_candidates_from_fingerprints(spark, monkeypatch):
     assert bin(similar.print_of(one) ^ similar.print_of(other)).count("1") <= 4
 
 
+def test_ngrams_do_not_copy_the_sentence_for_each_place(spark):
+    """A slice within the lambda takes the whole array, so a long sentence took the square of its length."""
+    rows = spark.createDataFrame([(1, list("abca")), (2, ["a"]), (3, []), (4, ["a", "b"])], "id long, words array<string>")
+    made = rows.select("id", collocation.ngrams(F.col("words"), 3).alias("x"))
+    assert {r.id: r.x for r in made.collect()} == {1: ["a", "b", "c", "a", "a b", "b c", "c a", "a b c", "b c a"], 2: ["a"], 3: [], 4: ["a", "b", "a b"]}
+    assert "transform(sequence" not in plan(made)
+
+
+def test_a_place_is_one_row_where_ngrams_are_counted(spark, monkeypatch):
+    """Before, a place was a row for each of its n-grams, twice; n-grams were strings before they were counted."""
+    stored, keep = {}, collocation.materialise
+    monkeypatch.setattr(collocation, "materialise", lambda df, name: stored.setdefault(name, []).append(df) or keep(df, name))
+    rows = spark.createDataFrame([(1, list("abab")), (1, ["a", "c"]), (2, ["b", "a", "d", "d"])], "year long, words array<string>")
+    made = collocation.term_counts(rows, "words", ["year"])
+    assert sorted((r.year, r.ngram, r.total) for r in made.collect()) == [(1, "a", 3), (1, "b", 2), (1, "b a", 1), (2, "a", 1), (2, "b", 1), (2, "b a", 1)]
+    assert sum(r.total for r in stored["run_sums"][0].collect()) == 10
+    pairs = collocation.term_pairs(rows, "words", made, ["year"], ["a", "b a"])
+    assert sorted((r.year, r.term, r.ngram, r.both) for r in pairs.collect()) == [(1, "a", "b", 4), (1, "a", "b a", 2), (1, "b a", "a", 2), (1, "b a", "b", 2), (2, "a", "b", 1), (2, "a", "b a", 1), (2, "b a", "a", 1), (2, "b a", "b", 1)]
+
+
+def test_merging_carries_no_sentence_beside_its_words(spark):
+    rows = spark.createDataFrame([(1, ["new", "york", "new", "york", "x"]), (2, ["x"])], "id long, words array<string>")
+    made = collocation.merge_phrases(rows, "words", spark.createDataFrame([("new", "york")], "a string, b string"), ["id"])
+    assert {r.id: r.words for r in made.collect()} == {1: ["new_york", "new_york", "x"], 2: ["x"]}
+    assert "posexplode(arrays_zip" in plan(made)
+
+
 def test_crowded_lists_make_only_the_parts_around_them(spark, monkeypatch):
     """All 70 sets of four positions were made rows for each member; five hold the list's three."""
     from farglass.llm import simhash
