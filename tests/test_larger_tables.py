@@ -114,6 +114,19 @@ def test_crowded_lists_make_only_the_parts_around_them(spark, monkeypatch):
     assert {r.n for r in crowded.withColumn("base", simhash._mask(3, F.col("list"))).select(F.size(seen[0]).alias("n")).collect()} == {5}
 
 
+def test_a_part_is_made_from_few_of_its_lists(spark, monkeypatch):
+    """A fingerprint that is in all 56 crowded lists has 70 parts; 5 for each list would be 280 rows."""
+    from farglass.llm import simhash
+
+    crowded = simhash.postings(spark.createDataFrame([(0x0123456789ABCD,)], "fp long"), 3).withColumn("component", F.col("fp"))
+    monkeypatch.setattr(type(crowded), "distinct", lambda self: self)
+    made = [r["list"] for r in simhash._split(crowded, 3, 4).collect()]
+    assert len(set(made)) == 70 and len(made) <= 175
+    # Of any four lists of a part two are split, so it is made as long as three are crowded.
+    for part in simhash.covering(4):
+        assert sum(set(c) < set(part) for c in simhash.splitting(3, 4)) >= 2
+
+
 def test_topic_words_make_no_python_row_for_each_word_and_topic(spark, monkeypatch):
     import pyarrow as pa
 
