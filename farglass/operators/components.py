@@ -5,7 +5,9 @@ neighbours are linked to its smallest neighbour (or itself). Small star: every n
 neighbours and the node are linked to the smallest of them. Links never join two components nor cut
 one, and after some rounds (about the logarithm of the diameter) each component is a star around its
 smallest node. Rounds go on until the edges stay the same. A hub's links are never gathered: minima
-are pre-aggregated, and joins on a hub may be split by adaptive execution.
+are pre-aggregated, and joins on a hub may be split by adaptive execution. Edges that fill one partition
+at most (``FEW``) are kept in one: a round then shuffles nothing, and leaves no file for each pair of
+partitions.
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ from pyspark.sql import functions as F
 from farglass.runtime import materialise
 
 
+#: Edges of one partition.
+FEW = 50_000
+
+
 def _state(edges: DataFrame) -> tuple:
     """Count and an order-free hash of an edge table (numeric sum, so it cannot overflow)."""
     r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -33,13 +39,16 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # The number of edges never grows: each round puts one in the place of one, and some are equal.
+        small_table = state[0] <= FEW
+        now = now.coalesce(1) if small_table else now
+        both = now.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         low = _minima(both).withColumn("m", F.least("u", "m"))
         # u's larger neighbours (v > u) get u's minimum; each stored edge is (larger, smaller).
         large = now.withColumnsRenamed({"u": "w", "v": "u"}).join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = _minima(large)
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialise(small, "edges")
+        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
+        now = materialise((moved.coalesce(1) if small_table else moved).distinct(), "edges")
         before, state = state, _state(now)
         if state == before:
             break

@@ -88,6 +88,17 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_few_edges_stay_in_one_partition(spark, monkeypatch):
+    """Rounds over a small table would leave a shuffle file for each pair of partitions."""
+    plans, store = [], components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df, name))
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long")
+    assert {r.component for r in components.connected_components(chain).collect()} == {0}
+    assert len(plans) > 2 and not any("Exchange hashpartitioning" in p for p in plans[1:])
+    monkeypatch.setattr(components, "FEW", 0)
+    assert {r.component for r in components.connected_components(chain).collect()} == {0}
+
+
 def test_near_duplicates_match_brute_force(spark):
     rng = random.Random(9)
     base = [" ".join(rng.choice(["alpha", "beta", "Gamma", "delta", "eps"]) + str(rng.randint(0, 30)) for _ in range(rng.randint(30, 90))) for _ in range(12)]
