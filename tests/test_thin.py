@@ -144,3 +144,20 @@ def test_small_tables(spark):
 
 def test_columns_are_doubles(spark):
     assert thin.random_thin(spark.range(3), 2).select(F.col("x")[0]).dtypes[0][1] == "double"
+
+
+def test_steps_that_nothing_reads_are_deleted(spark, monkeypatch):
+    """Of the rounds, and of the pairs on their way to the matrix, only results stay on disk."""
+    from farglass import runtime
+
+    made, store = [], runtime.materialise
+    for module in (thin, text_vectors, runtime):
+        monkeypatch.setattr(module, "materialise", lambda df, name: made.append((name, store(df, name))) or made[-1][1])
+    texts = spark.createDataFrame(sentences(), "id long, words array<string>")
+    matrix, vocabulary = text_vectors.association(texts, "words", window=3)
+    thin.eigenpairs(matrix, vocabulary.select("id"), 3, spare=2, rounds=2)
+    left = runtime._MADE.get()
+    stay = sorted(name for name, df in made if df._farglass_folder in left)
+    assert stay.count("basis") == stay.count("product") == 0 and len(made) > 15
+    assert [n for n in stay if n not in ("hot_keys", "ordered")] == ["association", "eigenvectors", "vocabulary"]
+    assert matrix.count() and vocabulary.count()
