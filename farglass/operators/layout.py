@@ -23,6 +23,8 @@ from farglass.runtime import lookup, materialise
 PUSHERS = 400
 #: Pushes for each pull.
 NEGATIVE = 5
+#: Points whose places are broadcast in every round; a broadcast passes the driver each time.
+BROADCAST_POINTS = 10_000
 
 
 def curve(min_dist: float, spread: float) -> tuple[float, float]:
@@ -108,6 +110,14 @@ def _moved(pushers: np.ndarray, a: float, b: float, rate: float) -> Callable[[It
     return rows
 
 
+def _ends(edges: DataFrame, x: DataFrame, n: int) -> DataFrame:
+    """``own, other, w`` with the places of both ends as ``x`` and ``y``; of many points none is broadcast,
+    by a hint, as the optimiser would go by the few bytes that they take on disk."""
+    how = "broadcast" if n <= BROADCAST_POINTS else "shuffle_hash"
+    met = edges.join(x.select(F.col("id").alias("other"), F.col("x").alias("y")).hint(how), "other")
+    return met.join(x.select(F.col("id").alias("own"), "x").hint(how), "own")
+
+
 def embed_graph(graph: DataFrame, size: int = 2, *, min_dist: float = 0.1, spread: float = 1.0, rounds: int = 25, seed: int = 1) -> DataFrame:
     """``id, x`` (``size`` coordinates) from a neighbour graph (``id, near``)."""
     a, b = curve(min_dist, spread)
@@ -116,17 +126,17 @@ def embed_graph(graph: DataFrame, size: int = 2, *, min_dist: float = 0.1, sprea
     edges = fuzzy_graph(graph)
     x = spectral_start(edges, ids, size, seed)
     degrees = materialise(edges.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("degree")), "pulls")
-    share = min(1.0, PUSHERS / max(1, n))
+    share, how = min(1.0, PUSHERS / max(1, n)), "merge" if n > BROADCAST_POINTS else "broadcast"
     for r in range(rounds):
         chosen = x.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(r), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
         pushers = np.array([p.x for p in chosen.orderBy("id").collect()]).reshape(-1, size)  # about PUSHERS rows
-        both = thin.beside(thin.beside(edges.withColumnsRenamed({"u": "own", "v": "other"}), x, "other", "y", size), x, "own", "x", size)
+        both = _ends(edges.withColumnsRenamed({"u": "own", "v": "other"}), x, n)
         apart = F.zip_with("y", "x", lambda p, q: p - q)
         pair = both.select("own", "w", apart.alias("to")).withColumn("d2", F.aggregate("to", F.lit(0.0), lambda s, v: s + v * v))
         force = F.col("w") * (2 * a * b) * F.pow(F.greatest("d2", F.lit(1e-12)), F.lit(b - 1)) / (1 + a * F.pow("d2", F.lit(b)))
         pair = pair.withColumn("force", F.least(force, F.lit(1e6)))
         pulls = pair.groupBy(F.col("own").alias("id")).agg(*(F.sum(F.col("force") * F.get("to", F.lit(j))).alias(f"p{j}") for j in range(size)), F.sum("force").alias("stiff"))
-        state = x.join(pulls.select("id", F.array(*(f"p{j}" for j in range(size))).alias("pull"), "stiff"), "id").join(degrees, "id")
+        state = x.join(pulls.select("id", F.array(*(f"p{j}" for j in range(size))).alias("pull"), "stiff").hint(how), "id").join(degrees.hint(how), "id")
         x = materialise(state.select("id", "x", "pull", "stiff", "degree").mapInArrow(_moved(pushers, a, b, 1 - r / rounds), "id long, x array<double>"), f"layout_{r}")
     return x
 
